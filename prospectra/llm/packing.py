@@ -30,7 +30,7 @@ WINDOW = 4096
 END = 2
 BUFFER = 1024
 #: Words whose ids a worker keeps.
-CACHE = 1_000_000
+CACHE = 2_000_000
 #: White space to str.split(), but not to tokenizers.
 _ODD = re.compile("[\x1c-\x1f]")
 _BREAK = re.compile("[ \t\r\n]+")
