@@ -23,6 +23,12 @@ SMOOTH = 1.0
 SYMBOLS = "#*$%&|<>"
 
 
+def stay() -> Column:
+    """0, which the optimizer can't know: filters on a result must not be pushed below the columns that hold its arrays, or
+    lambdas would compute whole arrays again for each element."""
+    return F.floor(F.rand(0))
+
+
 #: Bits of the place of a window in a text, beside the rest of its hash, while windows are sorted.
 PLACE = 26
 
@@ -53,7 +59,7 @@ def repeat_words(docs: DataFrame, to: str) -> DataFrame:
     at = F.sort_array(F.array_distinct(F.flatten(F.filter(pair, lambda x: x.isNotNull()))))
     start = F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n"))
     total = F.aggregate(at, start, lambda s, p: F.struct(p.alias("last"), (s["n"] + F.least(F.lit(3), p - s["last"])).alias("n")), lambda s: s["n"])
-    return out.withColumn(to, F.coalesce(total, F.lit(0)).cast("long")).drop("__win", "__sort")
+    return out.withColumn(to, F.coalesce(total, F.lit(0)).cast("long") + stay()).drop("__win", "__sort")
 
 
 def base_rules(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
@@ -95,5 +101,5 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, text: str = "text", key:
     out = base_rules(hashed(docs, C.clean(text)), text)
     total = lambda array: F.aggregate(array, F.lit(0.0), lambda s, h: s + F.get(table, bucket(h, buckets)))
     mean = (total("__h") + total("__p")) / F.greatest(F.size("__h") + F.size("__p"), F.lit(1))
-    out = out.withColumn("llr_score", mean).drop("__split", "__h", "__p")
+    out = out.withColumn("llr_score", mean + stay()).drop("__split", "__h", "__p")
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("llr_score") >= threshold))
