@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from . import common as C
 
 BUCKETS = 1 << 16
-THRESHOLD = -0.13
-SMOOTH = 1.0
+THRESHOLD = -0.2
+#: Pseudo-count of a bucket.
+SMOOTH = 3.0
 SYMBOLS = "#*$%&|<>"
 
 
@@ -89,9 +90,9 @@ def ratios(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "
     counts = grams.groupBy(bucket(F.col("h"), buckets).alias("b")).agg(F.count("*").alias("raw"), F.count("__good").alias("good")).collect()
     raw, good = sum(r["raw"] for r in counts), sum(r["good"] for r in counts)
     out = [0.0] * buckets
-    if good:
-        for r in counts:
-            out[r["b"]] = math.log((r["good"] + SMOOTH) / (good + SMOOTH * buckets)) - math.log((r["raw"] + SMOOTH) / (raw + SMOOTH * buckets))
+    for r in counts if good else []:
+        # Both counts are drawn towards the share of trusted words by the same pseudo-count, so that what is rare says little.
+        out[r["b"]] = math.log((r["good"] + SMOOTH) / (r["raw"] * good / raw + SMOOTH))
     return out
 
 
