@@ -111,8 +111,7 @@ add("mean_tanimoto", f"SELECT round(avg(coalesce(len(list_intersect(a.b, c.b)) /
 add("run_aggregates", "SELECT run_id, round(avg(metric), 6) AS avg_metric, round(stddev_pop(metric), 6) AS std_metric, round(max(metric), 6) AS best, arg_max(cycle, metric) AS best_cycle, round(arg_max(metric, cycle), 6) AS final FROM runs GROUP BY run_id")(lambda s, p: V.runs(s, p).groupBy("run_id").agg(F.round(F.avg("metric"), 6).alias("avg_metric"), F.round(F.stddev_pop("metric"), 6).alias("std_metric"), F.round(F.max("metric"), 6).alias("best"), F.max_by("cycle", "metric").alias("best_cycle"), F.round(F.max_by("metric", "cycle"), 6).alias("final")))
 add("metric_change", "SELECT run_id, cycle, CASE WHEN dlt > 1 THEN 'up' WHEN dlt < -1 THEN 'down' ELSE 'same' END AS change FROM (SELECT run_id, cycle, metric - lag(metric) OVER (PARTITION BY run_id ORDER BY cycle) AS dlt FROM runs)")(lambda s, p: V.runs(s, p).withColumn("dlt", F.col("metric") - F.lag("metric").over(Window.partitionBy("run_id").orderBy("cycle"))).select("run_id", "cycle", F.when(F.col("dlt") > 1, "up").when(F.col("dlt") < -1, "down").otherwise("same").alias("change")))
 # Run analytics
-run = Window.partitionBy("run_id")
-add("running_sum", "SELECT run_id, cycle, round(sum(cost) OVER (PARTITION BY run_id ORDER BY cycle ROWS UNBOUNDED PRECEDING), 6) AS total FROM runs")(lambda s, p: V.runs(s, p).select("run_id", "cycle", F.round(F.sum("cost").over(run.orderBy("cycle").rowsBetween(Window.unboundedPreceding, 0)), 6).alias("total")))
+add("running_sum", "SELECT run_id, cycle, round(sum(cost) OVER (PARTITION BY run_id ORDER BY cycle ROWS UNBOUNDED PRECEDING), 6) AS total FROM runs")(lambda s, p: V.runs(s, p).select("run_id", "cycle", F.round(F.sum("cost").over(Window.partitionBy("run_id").orderBy("cycle").rowsBetween(Window.unboundedPreceding, 0)), 6).alias("total")))
 add("last_cycle", "SELECT run_id, max(cycle) AS cycle, round(arg_max(metric, cycle), 6) AS metric FROM runs GROUP BY run_id")(lambda s, p: V.runs(s, p).groupBy("run_id").agg(F.max("cycle").alias("cycle"), F.round(F.max_by("metric", "cycle"), 6).alias("metric")))
 add("replicate_count", "SELECT run_id, count(*) OVER (PARTITION BY family) AS replicates FROM manifest")(lambda s, p: V.manifest(s, p).select("run_id", F.count("*").over(Window.partitionBy("family")).alias("replicates")))
 add("replicate_curve", "SELECT family, cycle, round(avg(metric), 6) AS mean, round(min(metric), 6) AS low, round(max(metric), 6) AS high, count(*) AS n FROM runs JOIN manifest USING (run_id) GROUP BY family, cycle")(lambda s, p: V.runs(s, p).join(F.broadcast(V.manifest(s, p)), "run_id").groupBy("family", "cycle").agg(F.round(F.avg("metric"), 6).alias("mean"), F.round(F.min("metric"), 6).alias("low"), F.round(F.max("metric"), 6).alias("high"), F.count("*").alias("n")))
