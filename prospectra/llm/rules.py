@@ -79,7 +79,10 @@ def base_rules(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFra
 
 
 def bucket(h: Column, buckets: int) -> Column:
-    return F.pmod(h, F.lit(buckets)).cast("int")
+    """The low bits of a hash; buckets must be a power of two."""
+    if buckets & (buckets - 1):
+        raise ValueError("buckets must be a power of two")
+    return h.bitwiseAND(F.lit(buckets - 1)).cast("int")
 
 
 def ratios(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id", buckets: int = BUCKETS) -> list[float]:
