@@ -15,6 +15,7 @@ can be kept by `keep`. An empty table has no pieces.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -38,23 +39,36 @@ _BREAK = re.compile("[ \t\r\n]+")
 _MARKED = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
 
 
+#: Beyond the Latin letters that are normal forms and have one small letter each.
+_LATIN = "\u0250"
+#: The byte-level alphabet: printable bytes of Latin-1 stand for themselves, the others for U+0100 and on, in order.
+_SELF = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTES = {b: 0x100 + k for k, b in enumerate(b for b in range(0x100) if b not in _SELF)}
+
+
 class WordIds(dict):
     """Ids of a word, as bytes of little-endian 32-bit numbers; for tokenizers that drop white space and case, part letters
-    from signs and never look across either border."""
+    from signs and never look across either border. Words of Latin small letters go to the model as they are."""
 
     def __init__(self, path: str):
         super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
 
     def __missing__(self, word: str) -> bytes:
         if len(self) > CACHE:
             self.clear()
-        if (m := _MARKED.fullmatch(word)) and m[1].isalpha():
+        if word.isalpha() and max(word) < _LATIN and (low := word.lower()).isalpha():
+            if low == word:
+                plain = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTES)
+                ids = [t.id for t in self.model.tokenize(plain)]
+                got = struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                got = self[low]
+        elif (m := _MARKED.fullmatch(word)) and m[1].isalpha():
             got = self[m[1]] + self[m[2]]
-        elif word.isascii() and word.isalpha() and not word.islower():
-            got = self[word.lower()]
         else:
             got = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         self[word] = got
