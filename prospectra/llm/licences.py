@@ -2,7 +2,9 @@
 
 Candidates of a text are its lines, its blocks between blank lines and the whole text, each once. Normalised: lower
 case, everything but a-z and 0-9 becomes one space. A template can reach the threshold t only for candidates with
-between t/(2-t) and (2-t)/t times its bigrams; others are not compared. A match has a Dice coefficient of t or more.
+between t/(2-t) and (2-t)/t times its bigrams; others are not compared. A match has a Dice coefficient of t or more, so
+it holds at least t/(2-t) of a template's bigrams: texts without any of the words that so many bigrams can't do without
+are passed over (nothing is lost by it).
 No Python runs on executors; nothing is shuffled but the matches.
 
 Null, empty and one-word texts have no bigrams and no matches; a repeated line counts once. Empty tables stay empty.
@@ -10,6 +12,10 @@ Null, empty and one-word texts have no bigrams and no matches; a repeated line c
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,14 +52,34 @@ def plain_bigrams(text: str) -> list[str]:
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(w, w[1:], strict=False)))
 
 
+def anchors(grams: list[list[str]], threshold: float) -> list[str] | None:
+    """Strings of which each match has at least one, long words if possible; None if there are no such strings."""
+    out: set[str] = set()
+    for g in filter(None, grams):
+        least = math.ceil(threshold * len(g) / (2 - threshold) - 1e-9)
+        left = [set(x.split()) for x in g]
+        for w in sorted(set().union(*left), key=lambda x: (-len(x), x)):
+            if len(left) < least:
+                break
+            out.add(w)
+            left = [x for x in left if w not in x]
+        if len(left) >= least:
+            return None
+    return sorted(w for w in out if not any(x != w and x in w for x in out))
+
+
 def licence_scan(docs: DataFrame, text: str = "text", key: str = "doc_id", templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """(key, licence, dice, n_matches): for each document and template with a match, the best coefficient and the number of matching candidates."""
     grams = {k: plain_bigrams(v) for k, v in (templates or TEMPLATES).items()}
     low = min(threshold / (2 - threshold) * len(g) for g in grams.values())
     t = C.clean(text)
+    needed = anchors(list(grams.values()), threshold)
+    # As an array of one text, which makes its lower case once only.
+    may = lambda x: F.exists(F.array(F.lower(x)), lambda y: reduce(or_, (F.contains(y, F.lit(w)) for w in needed), F.lit(False))) if needed is not None else F.lit(True)
+    docs = docs.where(may(t))
     parts = F.array_distinct(F.concat(F.split(t, "\n"), F.split(t, "\n[ \t\r]*\n"), F.array(t)))
     # A candidate with fewer spaces than the least bigrams allowed cannot match: tested before the normal form is made.
-    rows = docs.select(F.col(key).alias("__key"), F.explode(parts).alias("__c")).where(F.length("__c") >= 2 * low)
+    rows = docs.select(F.col(key).alias("__key"), F.explode(parts).alias("__c")).where((F.length("__c") >= 2 * low) & may(F.col("__c")))
     rows = rows.select("__key", F.split(normal(F.col("__c")), " ").alias("__w")).where(F.size("__w") > low).withColumn("__g", bigrams("__w"))
     rows = rows.withColumn("__n", F.size("__g")).where(F.col("__n") >= low)
     n = F.col("__n")

@@ -6,8 +6,9 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from prospectra.llm import language, licences, mixing, near, packing, pages, quality, repeats, rules, vectors
+from prospectra.llm import language, licences, mixing, near, packing, pages, quality, queries, repeats, rules, vectors
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -157,6 +158,23 @@ def test_licences(docs, none):
     assert [(r.doc_id, r.licence, r.dice, r.n_matches) for r in got] == [(11, "mit", 1.0, 1)] and licences.licence_scan(none).count() == 0
 
 
+def test_licence_anchors():
+    grams = [licences.plain_bigrams(v) for v in licences.TEMPLATES.values()]
+    words = set(licences.anchors(grams, 0.8))
+    for g in grams:  # bigrams without these words are too few for a match, whatever else a text has
+        free = [x for x in g if not any(w in x for w in words)]
+        assert 2 * len(free) / (len(free) + len(g)) < 0.8
+    assert licences.anchors(grams, 0.0) is None and licences.anchors([[]], 0.8) == []
+
+
+def test_word_ids():
+    path = queries.tokenizer()
+    ids, plain = packing.WordIds(path), Tokenizer.from_file(path)
+    letters = [chr(c) for c in range(0x21, 0x300)]
+    for t in ["Über straße, İstanbul don't ª1 H\u0331 \ud55c 中文 a\x1fb \x0b c", *letters, *(f"X{c}y" for c in letters)]:
+        assert ids.ids(t) == np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_pages(spark):
     top, end = "<html><body><nav><a>Menu</a></nav><div class='ad box'>Buy</div>", "<footer>End</footer><script>x('</p>')</script></body>"
     html = [top + "<article><h1>A &amp;amp; B</h1><p>One\n  two<br>three<p>Four</article><div id=comments>No</div>" + end, top + "<div>Shared line</div><div>Own one</div>" + end, top + "<div>Shared line</div><div>Own two</div>" + end, None, "plain < text", "<article><p>cut off"]
