@@ -2,7 +2,8 @@
 
 Every text gives hashed features: its word unigrams and bigrams, case kept. Two multinomials over the buckets, of the trusted documents and of all
 documents, give a log ratio for each bucket; a document's score is the mean over its features, and a document is
-kept if its score reaches a fixed threshold and it doesn't fail the base rules. No Python runs on executors.
+kept if its score reaches a fixed threshold and it doesn't fail the base rules. No Python runs on executors. The number
+of buckets follows the counted distinct features, so that buckets are as full on large inputs as on small ones.
 
 Null and empty texts have no words, fail the base rules and score 0. Rows with the same doc_id count as rows of
 their own. An empty table gives an empty result. Without trusted rows all ratios are 0 and only base rules decide.
@@ -10,14 +11,18 @@ their own. An empty table gives an empty result. Without trusted rows all ratios
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
 
+#: Least number of buckets, and distinct features that a bucket has at most, on average.
 BUCKETS = 1 << 16
+FILL = 42
+#: Buckets up to which their ratios are an array that goes with each task; beyond, features are joined with them.
+ARRAY = 1 << 21
 THRESHOLD = -0.2
 #: Pseudo-count of a bucket.
 SMOOTH = 3.0
@@ -85,25 +90,58 @@ def bucket(h: Column, buckets: int) -> Column:
     return h.bitwiseAND(F.lit(buckets - 1)).cast("int")
 
 
-def ratios(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id", buckets: int = BUCKETS) -> list[float]:
-    """For each bucket log(p(bucket | trusted) / p(bucket | all)), from counts over all rows; buckets bounds what the driver gets."""
-    ids = trusted.select(F.col(key).alias("__key")).where("__key is not null").distinct()
-    flagged = docs.select(F.col(key).alias("__key"), C.clean(text).alias("__t")).join(C.small(ids.withColumn("__good", F.lit(1))), "__key", "left")
-    grams = hashed(flagged, F.col("__t")).select("__good", F.explode(F.concat("__h", "__p")).alias("h"))
-    counts = grams.groupBy(bucket(F.col("h"), buckets).alias("b")).agg(F.count("*").alias("raw"), F.count("__good").alias("good")).collect()
-    raw, good = sum(r["raw"] for r in counts), sum(r["good"] for r in counts)
-    out = [0.0] * buckets
-    for r in counts if good else []:
-        # Both counts are drawn towards the share of trusted words by the same pseudo-count, so that what is rare says little.
-        out[r["b"]] = math.log((r["good"] + SMOOTH) / (r["raw"] * good / raw + SMOOTH))
+def features(docs: DataFrame, text: Column, *keep: str) -> DataFrame:
+    """The columns keep and h, the hash, for each feature of each text."""
+    return hashed(docs, text).select(*keep, F.explode(F.concat("__h", "__p")).alias("h"))
+
+
+def fitting(docs: DataFrame, text: str = "text") -> int:
+    """The least power of two, BUCKETS or more, that leaves a bucket FILL distinct features or fewer (by a count that errs by about 2 %)."""
+    n = features(docs.select(C.clean(text).alias("__t")), F.col("__t")).agg(F.approx_count_distinct("h", 0.02)).first()[0]
+    out = BUCKETS
+    while out * FILL < n:
+        out *= 2
     return out
 
 
-def quality_rules(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
-    """All columns of docs with the base rules' columns, llr_score and kept. trusted: has the keys of trusted documents."""
-    table = F.split(F.lit(",".join(f"{x:.6g}" for x in ratios(docs, trusted, text, key, buckets))), ",").cast("array<double>")
+def ratios(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id", buckets: int = BUCKETS) -> DataFrame:
+    """(b, ratio): for each bucket with features log(p(bucket | trusted) / p(bucket | all)), from counts over all rows."""
+    ids = trusted.select(F.col(key).alias("__key")).where("__key is not null").distinct()
+    flagged = docs.select(F.col(key).alias("__key"), C.clean(text).alias("__t")).join(C.small(ids.withColumn("__good", F.lit(1))), "__key", "left")
+    grams = features(flagged, F.col("__t"), "__good")
+    counts = C.written(grams.groupBy(bucket(F.col("h"), buckets).alias("b")).agg(F.count("*").alias("raw"), F.count("__good").alias("good")), "buckets")
+    raw, good = counts.agg(F.sum("raw"), F.sum("good")).first()
+    # Both counts are drawn towards the share of trusted words by the same pseudo-count, so that what is rare says little.
+    log = F.log((F.col("good") + SMOOTH) / (F.col("raw") * ((good or 0) / (raw or 1)) + SMOOTH))
+    return counts.select("b", (log if good else F.lit(0.0)).alias("ratio"))
+
+
+def with_array(out: DataFrame, table: DataFrame, buckets: int) -> DataFrame:
+    """Adds llr_score, ratios being an array from a subquery; needs hashed()."""
+    got = table.toArrow()
+    every = np.zeros(buckets)
+    every[got["b"].to_numpy()] = got["ratio"].to_numpy()
+    lists = pa.ListArray.from_arrays(pa.array([0, buckets], pa.int32()), pa.array(every))
+    # One use of the subquery only: the optimizer then moves it into the lambda, and the array is in no row.
+    out = out.withColumn("__all", F.concat("__h", "__p"))
+    out = out.withColumn("__table", out.sparkSession.createDataFrame(pa.table({"ratio": lists})).coalesce(1).scalar())
+    total = F.aggregate("__all", F.lit(0.0), lambda s, h: s + F.get("__table", bucket(h, buckets)))
+    return out.withColumn("llr_score", total / F.greatest(F.size("__all"), F.lit(1)) + stay()).drop("__all", "__table")
+
+
+def with_join(out: DataFrame, table: DataFrame, text: str, buckets: int) -> DataFrame:
+    """The same by joins, for any number of buckets; rows are written first, so that their numbers hold."""
+    out = C.written(out.drop("__split", "__h", "__p").withColumn("__row", F.monotonically_increasing_id()), "rows")
+    each = features(out.select("__row", C.clean(text).alias("__t")), F.col("__t"), "__row").select("__row", bucket(F.col("h"), buckets).alias("b"))
+    each = each.groupBy("__row", "b").agg(F.count("*").alias("n")).join(table, "b")
+    means = each.groupBy("__row").agg((F.sum(F.col("n") * F.col("ratio")) / F.sum("n")).alias("llr_score"))
+    return out.join(means, "__row", "left").withColumn("llr_score", F.coalesce("llr_score", F.lit(0.0))).drop("__row")
+
+
+def quality_rules(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD, buckets: int | None = None) -> DataFrame:
+    """All columns of docs with the base rules' columns, llr_score and kept. trusted: has the keys of trusted documents. buckets: a power of two, or as many as fit the features."""
+    buckets = buckets or fitting(docs, text)
+    table = ratios(docs, trusted, text, key, buckets)
     out = base_rules(hashed(docs, C.clean(text)), text)
-    total = lambda array: F.aggregate(array, F.lit(0.0), lambda s, h: s + F.get(table, bucket(h, buckets)))
-    mean = (total("__h") + total("__p")) / F.greatest(F.size("__h") + F.size("__p"), F.lit(1))
-    out = out.withColumn("llr_score", mean + stay()).drop("__split", "__h", "__p")
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("llr_score") >= threshold))
+    out = with_array(out, table, buckets) if buckets <= ARRAY else with_join(out, table, text, buckets)
+    return out.drop("__split", "__h", "__p").withColumn("kept", ~F.col("base_failed") & (F.col("llr_score") >= threshold))

@@ -79,6 +79,19 @@ def test_base_rules_against_brute_force(docs, rows, none):
     assert got[0].llr_score > got[12].llr_score and rules.quality_rules(none, docs).count() == 0 and rules.quality_rules(docs, none).count() == len(rows)
 
 
+def test_buckets_grow_with_the_features(spark, docs, monkeypatch):
+    many = spark.range(2800).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(599)), lambda i: F.concat(F.col("id"), F.lit("x"), i))).alias("text"))
+    assert rules.fitting(docs) == rules.BUCKETS and rules.fitting(many) == 2 * rules.BUCKETS  # 3.4 million distinct features
+    twice = docs.unionByName(docs.limit(3))
+    wide = twice.withColumn("llr", F.lit(7))
+    array = rules.quality_rules(wide, docs.where("doc_id < 3")).collect()
+    monkeypatch.setattr(rules, "ARRAY", 1)
+    join = rules.quality_rules(wide, docs.where("doc_id < 3"))
+    assert join.columns == [*wide.columns, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr_score", "kept"]
+    both = [sorted(((r.doc_id, r.text or "", r.n_words, r.kept, round(r.llr_score, 4)) for r in x)) for x in (array, join.collect())]
+    assert both[0] == both[1] and len(array) == twice.count()
+
+
 def test_quality_learns(spark, docs, none):
     good = "Plain words that follow one another, as in prose. " * 5
     data = [(i, (good if i % 2 else good.upper().replace(" ", "!! ")) + " w" * (i % 7), i % 2) for i in range(400)]
