@@ -108,6 +108,7 @@ add("scaffold_diversity", "SELECT count(DISTINCT scaffold) AS scaffolds, round(c
 add("bit_entropy", "SELECT round(-sum(p * log2(p)), 6) AS bit_entropy FROM (SELECT c / sum(c) OVER () AS p FROM (SELECT i, count(*) AS c FROM (SELECT unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM embeddings) WHERE x > 0 GROUP BY i))")(lambda s, p: V.table(s, p, "embeddings").select(F.posexplode("embedding").alias("i", "x")).where("x > 0").groupBy("i").agg(F.count("*").alias("c")).withColumn("p", F.col("c") / F.sum("c").over(Window.partitionBy())).agg(F.round(-F.sum(F.col("p") * F.log2("p")), 6).alias("bit_entropy")))
 bits = "SELECT vec_id AS id, list_filter(range(len(embedding)), lambda i: embedding[i + 1] > 0) AS b FROM embeddings WHERE vec_id % 10 = 0"
 add("mean_tanimoto", f"SELECT round(avg(coalesce(len(list_intersect(a.b, c.b)) / (len(a.b) + len(c.b) - len(list_intersect(a.b, c.b))), 1)), 6) AS mean_tanimoto FROM ({bits}) a JOIN ({bits}) c ON a.id < c.id")(lambda s, p: (lambda v: v.alias("a").join(F.broadcast(v.alias("c")), F.expr("a.id < c.id")).select(F.size(F.array_intersect("a.b", "c.b")).alias("i"), (F.size("a.b") + F.size("c.b")).alias("n")).agg(F.round(F.avg(F.when(F.col("n") == 0, 1.0).otherwise(F.col("i") / (F.col("n") - F.col("i")))), 6).alias("mean_tanimoto")))(V.table(s, p, "embeddings").where("vec_id % 10 = 0").selectExpr("vec_id AS id", "filter(transform(embedding, (x, i) -> if(x > 0, i, -1)), i -> i >= 0) AS b")))
+add("mean_tanimoto_sampled")(lambda s, p: M.mean_tanimoto(V.table(s, p, "embeddings").selectExpr("vec_id AS id", "filter(transform(embedding, (x, i) -> if(x > 0, i, -1)), i -> i >= 0) AS b")))
 add("run_aggregates", "SELECT run_id, round(avg(metric), 6) AS avg_metric, round(stddev_pop(metric), 6) AS std_metric, round(max(metric), 6) AS best, arg_max(cycle, metric) AS best_cycle, round(arg_max(metric, cycle), 6) AS final FROM runs GROUP BY run_id")(lambda s, p: V.runs(s, p).groupBy("run_id").agg(F.round(F.avg("metric"), 6).alias("avg_metric"), F.round(F.stddev_pop("metric"), 6).alias("std_metric"), F.round(F.max("metric"), 6).alias("best"), F.max_by("cycle", "metric").alias("best_cycle"), F.round(F.max_by("metric", "cycle"), 6).alias("final")))
 add("metric_change", "SELECT run_id, cycle, CASE WHEN dlt > 1 THEN 'up' WHEN dlt < -1 THEN 'down' ELSE 'same' END AS change FROM (SELECT run_id, cycle, metric - lag(metric) OVER (PARTITION BY run_id ORDER BY cycle) AS dlt FROM runs)")(lambda s, p: V.runs(s, p).withColumn("dlt", F.col("metric") - F.lag("metric").over(Window.partitionBy("run_id").orderBy("cycle"))).select("run_id", "cycle", F.when(F.col("dlt") > 1, "up").when(F.col("dlt") < -1, "down").otherwise("same").alias("change")))
 # Run analytics

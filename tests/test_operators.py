@@ -79,3 +79,18 @@ def test_annealing_returns_k_distinct(spark):
     rows = spark.createDataFrame([(i, random.Random(i).random()) for i in range(300)], "id long, prediction double")
     got = ids(acquisition.anneal(rows, 25, 5))
     assert len(set(got)) == 25 and got == ids(acquisition.anneal(rows.repartition(9), 25, 5))
+
+
+def test_mean_tanimoto_takes_all_vectors(spark):
+    dice = random.Random(8)
+    sets = [sorted(dice.sample(range(40), dice.randint(0, 20))) for _ in range(900)]
+    rows = spark.createDataFrame(list(enumerate(sets)), "id long, b array<int>")
+    for n in (0, 1, 11, 45, 60, 900):
+        every = [1.0 if not x | y else len(x & y) / len(x | y) for i, x in enumerate(map(set, sets[:n])) for y in map(set, sets[:i])]
+        some = rows.where(F.col("id") < n)
+        mean, pairs = evaluation.mean_tanimoto(some).first()
+        if n <= 60:
+            assert pairs == len(every) and (mean is None if n < 2 else abs(mean - sum(every) / pairs) < 2e-6)
+        else:
+            assert 1000 <= pairs <= 100_000 and abs(mean - sum(every) / len(every)) < 0.015
+            assert (mean, pairs) == tuple(evaluation.mean_tanimoto(some.repartition(9)).first())
