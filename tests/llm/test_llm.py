@@ -199,6 +199,17 @@ def test_pages(spark):
     assert got[0].n_chars == len(got[0].text) and pages.extract(df.where("false")).count() == 0
 
 
+def test_copies_are_no_neighbours(spark):
+    page = lambda *own: "<div>Shared line</div>" + "".join(f"<div>{x}</div>" for x in own)
+    one, two = page("Own one", "More of one"), page("Own two", "More of two")
+    data = [("a.org/x/1", one), ("a.org/x/1?utm_source=y", one), ("a.org/x/1?page=2", one), ("a.org/x/2", two), ("a.org/x/2", two), ("b.org/1", one), ("b.org/1", one)]
+    df = spark.createDataFrame([(i, "http://" + u, h) for i, (u, h) in enumerate(data)], "page_id long, url string, html string").coalesce(1)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    got = table(pages.extract(df), "page_id")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert [got[i].text for i in range(7)] == ["Own one\nMore of one"] * 3 + ["Own two\nMore of two"] * 2 + ["Shared line\nOwn one\nMore of one"] * 2
+
+
 def test_lcs_against_dynamic_programme():
     import random
 
