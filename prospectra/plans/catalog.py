@@ -119,6 +119,7 @@ add("replicate_curve", "SELECT family, cycle, round(avg(metric), 6) AS mean, rou
 add("final_summary", "SELECT family, round(avg(m), 6) AS mean, round(min(m), 6) AS low, round(max(m), 6) AS high FROM (SELECT run_id, arg_max(metric, cycle) AS m FROM runs GROUP BY run_id) JOIN manifest USING (run_id) GROUP BY family")(lambda s, p: V.runs(s, p).groupBy("run_id").agg(F.max_by("metric", "cycle").alias("m")).join(V.manifest(s, p), "run_id").groupBy("family").agg(F.round(F.avg("m"), 6).alias("mean"), F.round(F.min("m"), 6).alias("low"), F.round(F.max("m"), 6).alias("high")))
 add("seed_summary", "SELECT cycle, 'metric' AS name, round(avg(metric), 6) AS mean, round(coalesce(stddev_samp(metric), 0), 6) AS std FROM runs GROUP BY cycle UNION ALL SELECT cycle, 'cost', round(avg(cost), 6), round(coalesce(stddev_samp(cost), 0), 6) FROM runs GROUP BY cycle")(lambda s, p: V.runs(s, p).select("cycle", F.expr("stack(2, 'metric', metric, 'cost', cost) AS (name, v)")).groupBy("cycle", "name").agg(F.round(F.avg("v"), 6).alias("mean"), F.round(F.coalesce(F.stddev_samp("v"), F.lit(0.0)), 6).alias("std")))
 add("metric_pivot", "SELECT design, " + ", ".join(f"round(avg(metric) FILTER (cycle = {c}), 6) AS c{c}" for c in range(1, 5)) + " FROM runs JOIN manifest USING (run_id) GROUP BY design")(lambda s, p: V.runs(s, p).join(F.broadcast(V.manifest(s, p)), "run_id").groupBy("design").pivot("cycle", [1, 2, 3, 4]).agg(F.round(F.avg("metric"), 6)).toDF("design", "c1", "c2", "c3", "c4"))
+add("metric_pivot_all", "SELECT design, " + ", ".join(f"round(avg(metric) FILTER (cycle = {c}), 6) AS c{c}" for c in range(1, 8)) + " FROM runs JOIN manifest USING (run_id) GROUP BY design")(lambda s, p: V.runs(s, p).join(F.broadcast(V.manifest(s, p)), "run_id").groupBy("design").pivot("cycle", [*range(1, 8)]).agg(F.round(F.avg("metric"), 6)).toDF("design", *(f"c{c}" for c in range(1, 8))))
 add("cumulative_timing", "SELECT family, round(sum(cost), 6) AS total, round(avg(m), 6) AS last_metric FROM (SELECT run_id, sum(cost) AS cost, arg_max(metric, cycle) AS m FROM runs GROUP BY run_id) JOIN manifest USING (run_id) GROUP BY family")(lambda s, p: V.runs(s, p).groupBy("run_id").agg(F.sum("cost").alias("cost"), F.max_by("metric", "cycle").alias("m")).join(V.manifest(s, p), "run_id").groupBy("family").agg(F.round(F.sum("cost"), 6).alias("total"), F.round(F.avg("m"), 6).alias("last_metric")))
 add("pruned_top", "SELECT count(*) FILTER (status = 'pruned') AS pruned FROM master")(lambda s, p: V.master(s, p).agg(F.count_if(F.col("status") == "pruned").alias("pruned")))
 add("prune_by_cycle", "SELECT round(avg(c), 6) AS mean, min(c) AS low, max(c) AS high FROM (SELECT pruned_cycle, count(*) AS c FROM master WHERE status = 'pruned' GROUP BY pruned_cycle)")(lambda s, p: V.master(s, p).where("status = 'pruned'").groupBy("pruned_cycle").agg(F.count("*").alias("c")).agg(F.round(F.avg("c"), 6).alias("mean"), F.min("c").alias("low"), F.max("c").alias("high")))
@@ -138,9 +139,19 @@ def part_sets(s, p):
 
 add("jaccard_matrix", f"SELECT a.family AS l, b.family AS r, round(100.0 * count(*) / (max(x.n) + max(y.n) - count(*)), 6) AS jaccard FROM ({sets}) a JOIN ({sets}) b ON a.part = b.part JOIN (SELECT family, count(*) AS n FROM ({sets}) GROUP BY family) x ON x.family = a.family JOIN (SELECT family, count(*) AS n FROM ({sets}) GROUP BY family) y ON y.family = b.family GROUP BY ALL")(lambda s, p: (lambda t: (lambda n: t.join(t.select("part", F.col("family").alias("r")), "part").groupBy(F.col("family").alias("l"), "r").agg(F.count("*").alias("i")).join(n.toDF("l", "x"), "l").join(n.toDF("r", "y"), "r").select("l", "r", F.round(100 * F.col("i") / (F.col("x") + F.col("y") - F.col("i")), 6).alias("jaccard")))(t.groupBy("family").agg(F.count("*"))))(part_sets(s, p)))
 add("overlap_matrix", f"SELECT a.family AS l, b.family AS r, count(*) AS shared FROM ({sets}) a JOIN ({sets}) b ON a.part = b.part GROUP BY ALL")(lambda s, p: (lambda t: t.join(t.select("part", F.col("family").alias("r")), "part").groupBy(F.col("family").alias("l"), "r").agg(F.count("*").alias("shared")))(part_sets(s, p)))
+whole_sets = "SELECT DISTINCT l_linenumber AS family, l_partkey AS part FROM lineitem"
+
+
+def whole_part_sets(s, p):
+    return V.table(s, p, "lineitem").select(F.col("l_linenumber").alias("family"), F.col("l_partkey").alias("part")).distinct()
+
+
+add("jaccard_matrix_all", f"SELECT a.family AS l, b.family AS r, round(100.0 * count(*) / (max(x.n) + max(y.n) - count(*)), 6) AS jaccard FROM ({whole_sets}) a JOIN ({whole_sets}) b ON a.part = b.part JOIN (SELECT family, count(*) AS n FROM ({whole_sets}) GROUP BY family) x ON x.family = a.family JOIN (SELECT family, count(*) AS n FROM ({whole_sets}) GROUP BY family) y ON y.family = b.family GROUP BY ALL")(lambda s, p: (lambda t: (lambda n: t.join(t.select("part", F.col("family").alias("r")), "part").groupBy(F.col("family").alias("l"), "r").agg(F.count("*").alias("i")).join(n.toDF("l", "x"), "l").join(n.toDF("r", "y"), "r").select("l", "r", F.round(100 * F.col("i") / (F.col("x") + F.col("y") - F.col("i")), 6).alias("jaccard")))(t.groupBy("family").agg(F.count("*"))))(whole_part_sets(s, p)))
+add("overlap_matrix_all", f"SELECT a.family AS l, b.family AS r, count(*) AS shared FROM ({whole_sets}) a JOIN ({whole_sets}) b ON a.part = b.part GROUP BY ALL")(lambda s, p: (lambda t: t.join(t.select("part", F.col("family").alias("r")), "part").groupBy(F.col("family").alias("l"), "r").agg(F.count("*").alias("shared")))(whole_part_sets(s, p)))
 add("effective_count", "SELECT round(exp(-sum(p * ln(p))), 6) AS effective FROM (SELECT count(*) / sum(count(*)) OVER () AS p FROM text GROUP BY scaffold)")(lambda s, p: V.text(s, p).groupBy("scaffold").agg(F.count("*").alias("c")).withColumn("p", F.col("c") / F.sum("c").over(Window.partitionBy())).agg(F.round(F.exp(-F.sum(F.col("p") * F.log("p"))), 6).alias("effective")))
 add("novel_count", "SELECT count(DISTINCT l_partkey) AS novel FROM lineitem WHERE l_linenumber = 4 AND l_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_linenumber = 1)")(lambda s, p: (lambda t: t.where("l_linenumber = 4").join(t.where("l_linenumber = 1").select("l_partkey"), "l_partkey", "left_anti").agg(F.countDistinct("l_partkey").alias("novel")))(V.table(s, p, "lineitem")))
 add("diagonal_union", "SELECT id, prediction, NULL AS status FROM pred WHERE id % 10 = 0 UNION ALL SELECT id, NULL, status FROM master WHERE id % 10 = 1")(lambda s, p: V.pred(s, p).where("id % 10 = 0").select("id", "prediction").unionByName(V.master(s, p).where("id % 10 = 1").select("id", "status"), allowMissingColumns=True))
+add("diagonal_union_all", "SELECT id, prediction, NULL AS status FROM pred UNION ALL SELECT id, NULL, status FROM master")(lambda s, p: V.pred(s, p).select("id", "prediction").unionByName(V.master(s, p).select("id", "status"), allowMissingColumns=True))
 add("bijection_check", "SELECT (SELECT count(*) FROM (SELECT run_id FROM manifest EXCEPT SELECT run_id FROM runs)) AS only_manifest, (SELECT count(*) FROM (SELECT run_id FROM runs EXCEPT SELECT run_id FROM manifest)) AS only_runs")(lambda s, p: (lambda a, b: a.withColumn("m", F.lit(1)).join(b.withColumn("r", F.lit(1)), "run_id", "full").agg(F.count_if(F.col("r").isNull()).alias("only_manifest"), F.count_if(F.col("m").isNull()).alias("only_runs")))(V.manifest(s, p).select("run_id").distinct(), V.runs(s, p).select("run_id").distinct()))
 add("break_even", "SELECT w AS speed, l AS share, round(w * l * (15.0 / 1e6 + 0.0012) / (1 - l * 0.01), 9) AS cost FROM range(1, 5) a(w), range(1, 5) b(l)")(lambda s, p: s.range(1, 5).toDF("speed").withColumn("share", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(4).cast("bigint")))).withColumn("cost", F.round(F.expr("speed * share * (15.0D / 1e6 + 0.0012D) / (1 - share * 0.01D)"), 9)))
 add("schedule_expand", "SELECT b AS block, c AS cycle, CASE b WHEN 1 THEN 'random' ELSE 'greedy' END AS strategy FROM (VALUES (1, 1), (2, 5)) t(b, n), range(1, 6) r(c) WHERE c <= n")(lambda s, p: s.createDataFrame([(1, "random", 1), (2, "greedy", 5)], "block int, strategy string, n int").select("block", "strategy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n").cast("bigint"))).alias("cycle")))
