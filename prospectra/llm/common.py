@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that a table may have at most to be sent to every executor (ids and a few numbers a row).
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 50_000
 SPACE = " \t\n\x0b\x0c\r"
 
 
@@ -40,25 +41,29 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Unset, it becomes a temporary folder where all run in one process, and an error on a cluster."""
     got = spark.conf.get("spark.checkpoint.dir", None)
     if not got:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         got = "file://" + tempfile.mkdtemp(prefix="prospectra-")
         spark.conf.set("spark.checkpoint.dir", got)
     return got
 
 
 def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # the session has ended: nothing can be removed any more
-        pass
+    if spark.sparkContext._jsc is None:  # the session has ended
+        return
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
-    """The rows as a Parquet table in the shared folder: lineage ends there, and a lost executor loses nothing."""
+    """The rows as a Parquet table in the shared folder: lineage ends there, and a lost executor loses nothing.
+
+    Results are lazy and may read these tables at any time, so they go when the Python process ends normally.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
@@ -87,9 +92,18 @@ def words(text: Column) -> Column:
     return F.array_remove(spaced(text), "")
 
 
-def parts(spark: SparkSession, rows: int, each: int) -> int:
-    """So many partitions that each has about `each` rows, and that all cores have work."""
-    return max(spark.sparkContext.defaultParallelism, -(-rows // each))
+#: Edges from which a node's edges count as too many for one task, and such nodes at most.
+HUB, HUBS = 1000, 50_000
+
+
+def with_least(edges: DataFrame, low: DataFrame, n: int) -> DataFrame:
+    """edges (u, v) with m of low (u, m, d: edges of u). Edges of a hub stay where they are: at most HUBS nodes have
+    more than 2 * n / HUBS of n edges and their mirrored ones, and these are sent to every executor."""
+    top = max(HUB, 2 * n // HUBS)
+    hubs = low.where(F.col("d") > top).select("u", F.col("m").alias("hub"))
+    marked = edges.join(F.broadcast(hubs), "u", "left")
+    rest = marked.where("hub is null").select("u", "v").join(low.where(F.col("d") <= top).select("u", "m"), "u")
+    return rest.select("u", "v", "m").unionByName(marked.where("hub is not null").select("u", "v", F.col("hub").alias("m")))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -> DataFrame:
@@ -97,24 +111,22 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -
 
     Alternates large-star and small-star (Kiveris et al. 2014); each round writes a table in the shared folder.
     Nothing is collected but the count of edges that a round changed. Groups are reduced by min() and never
-    gathered into an array, so that a star's centre with millions of leaves is one aggregated row.
+    gathered into an array, and the edges of a star's centre with millions of leaves meet in no task.
     """
-    spark = edges.sparkSession
     now = written(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct(), "edges")
-    before = None
+    before, n = None, now.count()
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("d"))
+        large = with_least(both, low, n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
-        joined = down.join(low, "u")
-        star = joined.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        low = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d"))
+        star = with_least(down, low, n).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         now = written(star.where("u <> v").distinct(), "edges")
-        state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if state == before:
+        n, total = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if (n, total) == before:
             break
-        before = state
+        before = (n, total)
     else:
         raise RuntimeError(f"components didn't settle in {rounds} rounds")
     return now.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component").unionByName(

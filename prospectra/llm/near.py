@@ -1,25 +1,27 @@
 """Operator 8, n-gram Jaccard join: chosen-path join over sets of five-word shingles.
 
-Texts with equal shingle sets form a class, whose smallest key stands for it. In each of RUNS runs a set walks down a
-tree: at a node it picks one or two hash functions (by the node's own hash) and goes to the children named by the shared
-token that each function puts first among its shingles, so that two sets part at a step with probability 1 - Jaccard.
-LEVELS grows with the logarithm of the input, so that leaf buckets of unrelated sets stay small; runs repeat until the
-target recall (RUNS gives above 0.999 for pairs at the threshold).
+Texts with equal shingle sets form a class. In each of RUNS runs a class walks down a tree: at a node it picks one or two hash
+functions (by the node's own hash) and goes to the children named by the shingle that each function puts first among its
+shingles, so that two sets part at a step with probability 1 - Jaccard. Nodes that hold up to GROUP classes are buckets;
+larger ones are split again, level by level, unless almost all of their classes go on together (DENSE: near copies of one
+text, which no split parts) or DEPTH is reached. At DEPTH a run still finds a pair at the threshold with a probability of
+about 0.4, so that RUNS runs find 0.99 of them; at the first level, where almost all sets are alone already, 1 - 1e-7.
 
-Sets that share a leaf are candidates. Connected candidates are brought together and compared exactly: in one task up to
-GROUP sets, and in pairs of blocks beyond, each pair once. A task gives each set's number of links and a spanning forest
-of its links, never pairs. Links then join classes to components by shared tables, nothing is collected.
+The classes of a bucket are compared exactly, each with each: in one task, and in pairs of blocks where a bucket holds more
+than GROUP classes or SHINGLES shingles. A pair that shares several buckets belongs to the first of them, and texts travel
+only to buckets that have pairs of their own. A task gives each class's number of links and a spanning forest of its links,
+never pairs. Links then join classes to components by shared tables; nothing is collected.
 
 Words are [^\\x20\\x09-\\x0D]+, case kept. A text of one to four words is one shingle of all of them; null and blank texts have
-no shingles, link with nothing and are classes of their own. Repeated rows with
-the same key and text are copies of each other; rows with the same key and other texts are one document for links. A null key
-is replaced by a hash of the text.
+no shingles, link with nothing and are classes of their own. Very long texts are sets as any other (their shingles must fit
+in a task). Rows are told apart by key and text: repeated rows are copies of each other, rows with one key and several texts
+are compared each by its text. A null key is replaced by a hash of the text. An empty table gives an empty result. Columns
+other than the key and the text take no part, whatever their names.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,9 +35,13 @@ from .vectors import forest
 WORDS = 5
 THRESHOLD = 0.8
 RUNS = 10
-#: Sets of a leaf that are expected to be unrelated, at most.
-LEAF = 50
+#: Classes of a bucket that are compared at once, shingles of a block, levels, share of a node's classes in one child that ends its splitting.
 GROUP = 512
+SHINGLES = 400_000
+DEPTH = 8
+DENSE = 0.75
+#: Words that a row carries to a comparison.
+PIECE = 1024
 _A, _B, _G = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -57,31 +63,31 @@ def shingles(words: np.ndarray, n: int = WORDS) -> np.ndarray:
     return np.unique(out)
 
 
-def leaves(tokens: np.ndarray, runs: int, levels: int) -> np.ndarray:
-    """Hashes of the leaves that a set comes to, over all runs."""
-    path, short = mix(np.arange(1, runs + 1, dtype=np.uint64) * _G), tokens.astype(np.uint32)
-    for _ in range(levels):
-        two = (mix(path) >> np.uint64(62)) == 0
-        seeds = mix(np.concatenate([path + _G, path[two] + _G + _G]))
-        first = np.empty(len(seeds), np.uint64)
-        step = max(1, 1_000_000 // len(tokens))
-        for at in range(0, len(seeds), step):
-            h = short[None, :] ^ (seeds[at : at + step, None] >> np.uint64(32)).astype(np.uint32)
-            h *= np.uint32(0x85EBCA6B)
-            h ^= h >> np.uint32(15)
-            h *= np.uint32(0xC2B2AE35)
-            h ^= h >> np.uint32(16)
-            first[at : at + step] = tokens[h.argmin(1)]
-        path = mix(seeds ^ mix(first))
-    return np.unique(path)
+def children(tokens: np.ndarray, paths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes that a set goes to from some nodes: place of the parent, and the child."""
+    two = (mix(paths) >> np.uint64(62)) == 0
+    owner = np.concatenate([np.arange(len(paths)), np.flatnonzero(two)])
+    seeds = mix(np.concatenate([paths + _G, paths[two] + _G + _G]))
+    short, first = tokens.astype(np.uint32), np.empty(len(seeds), np.uint64)
+    step = max(1, 1_000_000 // len(tokens))
+    for at in range(0, len(seeds), step):
+        h = short[None, :] ^ (seeds[at : at + step, None] >> np.uint64(32)).astype(np.uint32)
+        h *= np.uint32(0x85EBCA6B)
+        h ^= h >> np.uint32(15)
+        h *= np.uint32(0xC2B2AE35)
+        h ^= h >> np.uint32(16)
+        first[at : at + step] = tokens[h.argmin(1)]
+    return owner, mix(seeds ^ mix(first))
 
 
 def key_of(docs: DataFrame, text: str, key: str) -> Column:
-    return F.coalesce(docs[key].cast("long"), F.xxhash64(docs[text]))
+    """The key as it is joined and returned: a long, or a string."""
+    kind = "string" if dict(docs.dtypes)[key] == "string" else "long"
+    return F.coalesce(docs[key].cast(kind), F.xxhash64(docs[text]).cast(kind))
 
 
-def word_hashes(docs: DataFrame, text: str, key: str) -> DataFrame:
-    return docs.select(key_of(docs, text, key).alias("k"), F.transform(C.words(C.clean(text)), lambda x: F.xxhash64(x)).alias("h"))
+def word_hashes(text: str | Column) -> Column:
+    return F.transform(C.words(C.clean(text)), lambda x: F.xxhash64(x))
 
 
 def lists(column: pa.ChunkedArray | pa.Array) -> Iterator[np.ndarray]:
@@ -90,94 +96,249 @@ def lists(column: pa.ChunkedArray | pa.Array) -> Iterator[np.ndarray]:
         yield values[a:b]
 
 
-def signatures(docs: DataFrame, text: str, key: str, runs: int, levels: int) -> DataFrame:
-    """k, two hashes of the shingle set, its size and the leaves that it comes to."""
+def signatures(keyed: DataFrame, runs: int) -> DataFrame:
+    """k, th, two hashes of the shingle set, its size and the nodes of the first level that it comes to."""
+    roots = np.arange(1, runs + 1, dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
+            tops = mix(roots * _G)
             for batch in batches:
-                a, b, n, buckets = [], [], [], []
+                a, b, n, nodes = [], [], [], []
                 for w in lists(batch.column("h")):
                     s = shingles(w)
                     a.append(int(mix(s).sum().view(np.int64)) if len(s) else 0)
                     b.append(int(mix(s ^ _G).sum().view(np.int64)) if len(s) else 0)
                     n.append(len(s))
-                    buckets.append(leaves(s, runs, levels).view(np.int64) if len(s) else np.zeros(0, np.int64))
-                yield pa.RecordBatch.from_pydict({"k": batch.column("k"), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(n, pa.int64()), "leaves": pa.array(buckets, pa.list_(pa.int64()))})
+                    nodes.append(np.unique(children(s, tops)[1]).view(np.int64) if len(s) else np.zeros(0, np.int64))
+                yield pa.RecordBatch.from_pydict({"k": batch.column("k"), "th": batch.column("th"), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(n, pa.int64()), "nodes": pa.array(nodes, pa.list_(pa.int64()))})
 
-    return word_hashes(docs, text, key).mapInArrow(run, "k long, a long, b long, n long, leaves array<long>")
+    kind = dict(keyed.dtypes)["k"]
+    return keyed.select("k", "th", word_hashes("t").alias("h")).mapInArrow(run, f"k {kind}, th long, a long, b long, n long, nodes array<long>")
 
 
-def compare(part: tuple, group: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Links between two blocks of sets, or within one: (id, -1, weight of its links), and edges of a spanning forest with n 0."""
+def descend(keyed: DataFrame, active: DataFrame, reps: DataFrame) -> DataFrame:
+    """c, n, parent, node: the children of the nodes of active (c, n, node)."""
+    lists_of = active.groupBy("c", "n").agg(F.collect_list("node").alias("nodes"))  # of one class: bounded by runs and levels
+    rows = keyed.join(C.small(lists_of.join(reps, "c")), ["k", "th"]).dropDuplicates(["c"]).select("c", "n", "nodes", word_hashes("t").alias("h"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                for c, n, nodes, w in zip(batch.column("c").to_pylist(), batch.column("n").to_pylist(), lists(batch.column("nodes")), lists(batch.column("h")), strict=True):
+                    owner, child = children(shingles(w), nodes.view(np.uint64))
+                    yield pa.RecordBatch.from_pydict({"c": pa.array([c] * len(owner), pa.int64()), "n": pa.array([n] * len(owner), pa.int64()), "parent": pa.array(nodes[owner], pa.int64()), "node": pa.array(child.view(np.int64))})
+
+    return rows.mapInArrow(run, "c long, n long, parent long, node long")
+
+
+def sizes_of(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("node").agg(F.count("*").alias("m"), F.sum("n").alias("s")).where("m > 1")
+
+
+def buckets(keyed: DataFrame, classes: DataFrame) -> DataFrame:
+    """node, c, n, blocks, block: the classes of every bucket with two or more."""
+    reps = classes.select("c", "rep.k", "rep.th")
+    rows = classes.select("c", "n", F.explode("nodes").alias("node"))
+    done: list[DataFrame] = []
+    for level in range(1, DEPTH + 1):
+        sizes = C.written(sizes_of(rows), "sizes")
+        large = sizes.where((F.col("m") > GROUP) | (F.col("s") > SHINGLES))
+        blocks = F.greatest(F.ceil(F.col("m") / GROUP), F.ceil(F.col("s") / SHINGLES)).cast("int").alias("blocks")
+        split = sizes.where(F.col("m") > GROUP).select("node", "m") if level < DEPTH else None
+        if split is None or not split.limit(1).count():
+            done.append(rows.join(C.small(sizes.select("node", blocks)), "node"))
+            break
+        active = C.written(rows.join(C.small(split), "node", "left_semi").distinct(), "active")
+        below = C.written(descend(keyed, active, reps).distinct(), "below")
+        most = below.groupBy("parent", "node").agg(F.count("*").alias("x")).groupBy("parent").agg(F.max("x").alias("x"))
+        parted = C.written(split.join(most, split["node"] == most["parent"]).where(F.col("x") < DENSE * F.col("m")).select("parent"), "parted")
+        stay = sizes.join(C.small(parted), sizes["node"] == parted["parent"], "left_anti").select("node", blocks)
+        done.append(rows.join(C.small(stay), "node"))
+        rows = C.written(below.join(C.small(parted), "parent", "left_semi").select("c", "n", "node"), "nodes")
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out.distinct().withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
+
+
+def common(node: int, lists: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Which pairs of members share a bucket that comes before this one."""
+    low = [x[: np.searchsorted(x, node)] for x in lists]
+    ids, place, often = np.unique(np.concatenate(low), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(low)), [len(x) for x in low])
+    two = often[place] > 1
+    out = np.zeros((len(left), len(right)), np.float32)
+    owner, place = owner[two], (np.cumsum(often > 1) - 1)[place[two]]
+    wide = 2048
+    for at in range(0, int((often > 1).sum()), wide):
+        some = (place >= at) & (place < at + wide)
+        m = np.zeros((len(low), wide), np.float32)
+        m[owner[some], place[some] - at] = 1
+        out += m[left] @ m[right].T
+    return out > 0
+
+
+def own_pairs(part: tuple, lists: list[np.ndarray], n: np.ndarray, block: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Members on the left and on the right, and which pairs of them this bucket compares: sizes fit, no bucket before has them."""
+    node, p, q = part
+    left, right = np.flatnonzero(block == p), np.flatnonzero(block == q)
+    small, large = np.minimum(n[left][:, None], n[right][None, :]), np.maximum(n[left][:, None], n[right][None, :])
+    mine = small >= threshold * large - 1e-9
+    mine &= np.triu(np.ones(mine.shape, bool), 1) if p == q else left[:, None] != right[None, :]
+    if mine.any():
+        mine &= ~common(node, lists, left, right)
+    return left, right, mine
+
+
+def whole_groups(batches: Iterator[pd.DataFrame], done: Callable[[pd.DataFrame], pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Applies done to the rows of whole groups (node, p, q) of sorted batches; the last group of a batch waits for more."""
+    rest: list[pd.DataFrame] = []
+    last = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        keys = batch[["node", "p", "q"]].to_numpy()
+        if rest and (keys[0] != last).any():
+            yield done(pd.concat(rest, ignore_index=True))
+            rest = []
+        last = keys[-1]
+        first = int(np.flatnonzero((keys != last).any(1))[-1]) + 1 if (keys != last).any() else 0
+        if first:
+            yield done(pd.concat([*rest, batch.iloc[:first]], ignore_index=True))
+            rest = []
+        rest.append(batch.iloc[first:])
+    if rest:
+        yield done(pd.concat(rest, ignore_index=True))
+
+
+def cuts(rows: pd.DataFrame) -> list[tuple[int, int]]:
+    """Where the groups of (node, p, q) begin and end."""
+    keys = rows[["node", "p", "q"]].to_numpy()
+    at = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+    ends = [0, *at.tolist(), len(rows)]
+    return list(zip(ends[:-1], ends[1:], strict=True))
+
+
+def needed(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """The rows of members that have a pair which their bucket compares."""
+    keep = np.zeros(len(rows), bool)
+    n, block, keys = rows["n"].to_numpy(), rows["block"].to_numpy(), rows[["node", "p", "q"]].to_numpy()
+    near = list(rows["near"])
+    for a, b in cuts(rows):
+        if b - a == 2 and keys[a, 1] == keys[a, 2]:  # most groups
+            low = [x[: np.searchsorted(x, keys[a, 0])] for x in near[a:b]]
+            keep[a:b] = min(n[a:b]) >= threshold * max(n[a:b]) - 1e-9 and not np.isin(low[0], low[1]).any()
+        elif b - a > 1:
+            left, right, mine = own_pairs(tuple(keys[a]), near[a:b], n[a:b], block[a:b], threshold)
+            keep[a + left[mine.any(1)]] = True
+            keep[a + right[mine.any(0)]] = True
+    return rows[keep]
+
+
+def compare(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """Links of the pairs that a bucket compares: (c, -1, weight of its links), and edges of a spanning forest with n 0.
+
+    rows: pieces of the texts' words (c, piece, h) of one group.
+    """
+    rows = rows.sort_values(["c", "piece"], kind="stable").drop_duplicates(["c", "piece"])
+    c = rows["c"].to_numpy()
+    start = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
+    one = rows.iloc[start]
+    part = tuple(one[["node", "p", "q"]].to_numpy()[0])
+    left, right, mine = own_pairs(part, list(one["near"]), one["n"].to_numpy(), one["block"].to_numpy(), threshold)
+    none = pd.DataFrame({"a": [], "b": [], "n": []}).astype("int64")
+    if not mine.any():
+        return none
     with np.errstate(over="ignore"):
-        group = group.drop_duplicates("id").sort_values("id", kind="stable")
-        sets = [shingles(np.asarray(h, np.int64)) for h in group["h"]]
-    ids, w, block = (group[c].to_numpy() for c in ("id", "w", "block"))
+        each = [shingles(np.asarray(h, np.int64)) for h in rows["h"]]
+        ends = [*start[1:].tolist(), len(each)]
+        sets = [each[a] if b - a == 1 else np.unique(np.concatenate(each[a:b])) for a, b in zip(start.tolist(), ends, strict=True)]
+    del each
+    ids, w = one["c"].to_numpy(), one["w"].to_numpy()
     size = np.array([len(s) for s in sets], np.int64)
+    x, y = np.nonzero(mine)
+    if len(x) <= 4 * len(sets):
+        both = np.array([len(np.intersect1d(sets[left[i]], sets[right[j]], assume_unique=True)) for i, j in zip(x, y, strict=True)], np.float64)
+    else:
+        both = products(sets, left, right)[x, y].astype(np.float64)
+    x, y = left[x], right[y]
+    keep = both >= threshold * (size[x] + size[y] - both) - 1e-6
+    x, y = x[keep], y[keep]
+    if not len(x):
+        return none
+    links = (np.bincount(x, w[y], len(ids)) + np.bincount(y, w[x], len(ids))).astype(np.int64)
+    some = np.flatnonzero(links)
+    tree = forest(x, y, len(ids))
+    out = pd.DataFrame({"a": ids[some], "b": -1, "n": links[some]})
+    return pd.concat([out, pd.DataFrame({"a": [ids[i] for i, _ in tree], "b": [ids[j] for _, j in tree], "n": 0})]).astype({"a": "int64", "b": "int64", "n": "int64"})
+
+
+def products(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets on the left with those on the right."""
     _, token, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(len(sets)), size)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     shared = often[token] > 1
     owner, token = owner[shared], (np.cumsum(often > 1) - 1)[token[shared]]
     order = np.argsort(token, kind="stable")
     owner, token = owner[order], token[order]
-    left, right = (np.flatnonzero(block == p) for p in part[1:])
-    both = np.zeros((len(left), len(right)), np.float32)
-    row_l, row_r = np.full(len(sets), -1), np.full(len(sets), -1)
-    row_l[left], row_r[right] = np.arange(len(left)), np.arange(len(right))
-    wide = 4096
+    out = np.zeros((len(left), len(right)), np.float32)
+    wide = 2048
     for at in range(0, int(token[-1]) + 1 if len(token) else 0, wide):
         a, b = np.searchsorted(token, [at, at + wide])
         m = np.zeros((len(sets), wide), np.float32)
         m[owner[a:b], token[a:b] - at] = 1
-        both += m[left] @ m[right].T
-    x, y = np.nonzero(both / (size[left][:, None] + size[right][None, :] - both + 1e-9) >= threshold - 1e-9)
-    exact = both[x, y].astype(np.float64)
-    keep = exact >= threshold * (size[left[x]] + size[right[y]] - exact) - 1e-6
-    x, y = left[x[keep]], right[y[keep]]
-    keep = x < y if part[1] == part[2] else x != y
-    x, y = x[keep], y[keep]
-    n = (np.bincount(x, w[y], len(ids)) + np.bincount(y, w[x], len(ids))).astype(np.int64)
-    some = np.flatnonzero(n)
-    tree = forest(x, y, len(ids))
-    out = pd.DataFrame({"a": ids[some], "b": -1, "n": n[some]})
-    return pd.concat([out, pd.DataFrame({"a": [ids[i] for i, _ in tree], "b": [ids[j] for _, j in tree], "n": 0})]).astype({"a": "int64", "b": "int64", "n": "int64"})
+        out += m[left] @ m[right].T
+    return out
+
+
+def found_links(keyed: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """a, b, n: for each class its links (b = -1, n of them), and edges of a spanning forest of the links (n = 0)."""
+    mates = C.written(buckets(keyed, classes), "buckets")
+    near = mates.groupBy("c").agg(F.sort_array(F.collect_set("node")).alias("near"))  # of one class: bounded by runs and levels
+    rows = mates.join(near, "c").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("node", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "c", "n", "block", "near")
+    kind = "node long, p int, q int, c long, n long, block int, near array<long>"
+    some = rows.repartition("node", "p", "q").sortWithinPartitions("node", "p", "q").mapInPandas(lambda b: whole_groups(b, lambda x: needed(x, threshold)), kind)
+    some = C.written(some.join(classes.select("c", "w", "rep.k", "rep.th"), "c"), "compared")
+    texts = keyed.join(C.small(some), ["k", "th"]).select("node", "p", "q", "c", "n", "w", "block", "near", word_hashes("t").alias("h"))
+    at = F.explode(F.sequence(F.lit(0), F.greatest(F.size("h") - 1, F.lit(0)), F.lit(PIECE)))
+    texts = texts.withColumn("piece", at).withColumn("h", F.expr(f"slice(h, piece + 1, {PIECE + WORDS - 1})")).where(f"piece = 0 OR size(h) >= {WORDS}")
+    return texts.repartition("node", "p", "q").sortWithinPartitions("node", "p", "q").mapInPandas(
+        lambda b: whole_groups(b, lambda x: pd.concat([compare(x.iloc[i:j], threshold) for i, j in cuts(x)])), "a long, b long, n long"
+    )
+
+
+def joined(docs: DataFrame, text: str, key: str, threshold: float, runs: int) -> DataFrame:
+    """k, th, class_id, n_links, component_id, kept for every row of docs."""
+    C.ship(docs.sparkSession)
+    keyed = docs.select(key_of(docs, text, key).alias("k"), F.xxhash64(C.clean(docs[text])).alias("th"), C.clean(docs[text]).alias("t"))
+    signed = C.written(signatures(keyed, runs), "signatures")
+    classes = signed.where("n > 0").groupBy("a", "b", "n").agg(F.min(F.struct("k", "th")).alias("rep"), F.count("*").alias("w"), F.first("nodes").alias("nodes"))
+    classes = C.written(classes.withColumn("c", F.monotonically_increasing_id()), "classes")  # written, so that c stays
+    links = C.written(found_links(keyed, classes, threshold), "links")
+    count = links.where("n > 0").groupBy(F.col("a").alias("c")).agg(F.sum("n").alias("links"))
+    groups = C.components(links.where("n = 0")).select(F.col("id").alias("c"), "component")
+    known = classes.select("a", "b", "n", "c", "rep", "w").join(count, "c", "left").join(groups, "c", "left")
+    firsts = known.where("component is not null").groupBy("component").agg(F.min("rep").alias("top"))
+    known = known.join(firsts, "component", "left").select("a", "b", "n", F.col("rep.k").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("links"), F.coalesce("top", "rep").alias("top"))
+    out = signed.select("k", "th", "a", "b", "n").join(known, ["a", "b", "n"], "left")
+    own = F.struct("k", "th")
+    return out.select("k", "th", F.coalesce("class_id", "k").alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"), F.coalesce("top.k", "k").alias("component_id"), F.coalesce(F.col("top") == own, F.lit(True)).alias("kept"))
 
 
 def jaccard_join(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD, runs: int = RUNS) -> DataFrame:
     """For every row of docs: key, class_id, n_links (other documents with a Jaccard similarity of threshold or more), component_id, kept."""
-    spark = docs.sparkSession
-    C.ship(spark)
-    levels = max(2, math.ceil(math.log(max(docs.count(), 2) / LEAF) / math.log(20)))
-    signed = C.written(signatures(docs, text, key, runs, levels), "signatures")
-    classes = C.written(signed.where("n > 0").groupBy("a", "b", "n").agg(F.min("k").alias("id"), F.count("*").alias("w"), F.first("leaves").alias("leaves")), "classes")
-    rows = classes.select("id", F.explode("leaves").alias("leaf"))
-    low = rows.groupBy("leaf").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("leaf", "low")
-    edges = rows.join(low, "leaf").where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b"))
-    near = C.components(edges)
-    sizes = near.groupBy("component").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("blocks"))
-    near = near.join(sizes, "component").join(classes.select("id", "w").dropDuplicates(["id"]), "id")
-    near = C.written(near.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "candidates")
-    sets = docs.select(key_of(docs, text, key).alias("id"), C.clean(docs[text]).alias("t")).join(C.small(near), "id")
-    sets = sets.select("id", "w", "component", "blocks", "block", F.transform(C.words(F.col("t")), lambda x: F.xxhash64(x)).alias("h"))
-    sets = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    sets = sets.withColumn("p", F.least("block", "other")).withColumn("q", F.greatest("block", "other"))
-    links = sets.groupBy("component", "p", "q").applyInPandas(lambda part, group: compare(part, group, threshold), "a long, b long, n long")
-    links = C.written(links, "links")
-    count = links.where("n > 0").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("links"))
-    groups = C.components(links.where("n = 0"))
-    known = classes.select("a", "b", "n", "id", "w").join(count, "id", "left").join(groups, "id", "left")
-    known = known.select("a", "b", "n", "id", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("links"), F.coalesce("component", "id").alias("component"))
-    out = signed.select("k", "a", "b", "n").join(known, ["a", "b", "n"], "left")
-    out = out.select(F.col("k").alias(key), F.coalesce("id", "k").alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"), F.coalesce("component", "k").alias("component_id"))
-    return out.withColumn("kept", F.col(key) == F.col("component_id"))
+    return joined(docs, text, key, threshold, runs).drop("th").withColumnRenamed("k", key)
 
 
 def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", **how: float) -> DataFrame:
-    """One row of each component: that with the smallest key. All columns of docs."""
-    found = jaccard_join(docs, text, key, **how)
-    kept = found.where("kept").select(F.col(key).alias("__kept"))
-    out = docs.join(C.small(kept.distinct()), key_of(docs, text, key) == F.col("__kept"), "left_semi")
-    if kept.groupBy("__kept").count().where("count > 1").limit(1).count():  # rows that share a key
-        out = out.withColumn("__kept", key_of(out, text, key)).dropDuplicates(["__kept"]).drop("__kept")
-    return out
+    """One row of each component: that with the smallest key (of equal keys, the smallest hash of the text). All columns of docs."""
+    found = joined(docs, text, key, how.get("threshold", THRESHOLD), how.get("runs", RUNS))
+    kept = C.written(found.where("kept").groupBy("k", "th").agg(F.count("*").alias("rows")), "kept")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    out = docs.select(*(docs[c].alias(n) for c, n in zip(docs.columns, names, strict=True)), key_of(docs, text, key).alias("k"), F.xxhash64(C.clean(docs[text])).alias("th"))
+    out = out.join(C.small(kept.select("k", "th")), ["k", "th"], "left_semi")
+    if kept.where("rows > 1").limit(1).count():  # repeated rows
+        out = out.dropDuplicates(["k", "th"])
+    return out.select(*names).toDF(*docs.columns)
