@@ -29,8 +29,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes under repeated 400-byte strings go; the documents stay, n_chars follows the text."""
-    out = repeats.remove_repeats(whole(docs, "text")).select("__row", "text")
+    """Passages of 50 words or more that occur again go, wherever they do; the documents stay, n_chars follows the text."""
+    out = repeats.remove_repeats(whole(docs, "text"), length=repeats.WORDS, gram=repeats.WORD_GRAM, words=True).select("__row", "text")
     new = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)}
     return out.select(*(new.get(c, F.col(f"__row.`{c}`")).alias(c) for c in docs.columns))
 
