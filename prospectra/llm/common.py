@@ -59,14 +59,24 @@ def _remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def written(df: DataFrame, what: str, batch: int | None = None) -> DataFrame:
     """The rows as a Parquet table in the shared folder: lineage ends there, and a lost executor loses nothing.
 
+    batch: rows that travel to a Python worker at a time, where rows are large.
     Results are lazy and may read these tables at any time, so they go when the Python process ends normally.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    usual = spark.conf.get(BATCH)
+    try:
+        if batch:
+            spark.conf.set(BATCH, str(batch))
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(BATCH, usual)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

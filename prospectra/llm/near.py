@@ -7,9 +7,11 @@ larger ones are split again, level by level, unless almost all of their classes
 text, which no split parts) or DEPTH is reached. At DEPTH a run still finds a pair at the threshold with a probability of
 about 0.4, so that RUNS runs find 0.99 of them; at the first level, where almost all sets are alone already, 1 - 1e-7.
 
-The classes of a bucket are compared exactly, each with each: in one task, and in pairs of blocks where a bucket holds more
-than GROUP classes or SHINGLES shingles. A pair that shares several buckets belongs to the first of them, and texts travel
-only to buckets that have pairs of their own. A task gives each class's number of links and a spanning forest of its links,
+The classes of a bucket are compared each with each: in one task, and in pairs of blocks where a bucket holds more than GROUP
+classes or SHINGLES shingles. A pair that shares several buckets belongs to the first of them. Sketches of BINS bytes (one
+permutation hashing) pass over pairs whose estimated similarity is below the threshold by SLACK, five standard deviations
+(a pair at the threshold is lost with a probability of 1e-6); the rest are compared exactly, and texts travel only to
+buckets that have such pairs of their own. A task gives each class's number of links and a spanning forest of its links,
 never pairs. Links then join classes to components by shared tables; nothing is collected.
 
 Words are [^\\x20\\x09-\\x0D]+, case kept. A text of one to four words is one shingle of all of them; null and blank texts have
@@ -40,8 +42,11 @@ GROUP = 512
 SHINGLES = 400_000
 DEPTH = 8
 DENSE = 0.75
-#: Words that a row carries to a comparison.
+#: Words that a row carries to a comparison, rows that travel to a Python worker at a time.
 PIECE = 1024
+BATCH = 1000
+#: Bytes of a sketch, and how far below the threshold an estimate may lie.
+BINS, SLACK = 64, 0.25
 _A, _B, _G = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -63,6 +68,27 @@ def shingles(words: np.ndarray, n: int = WORDS) -> np.ndarray:
     return np.unique(out)
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """Of the smallest shingle hash of each bin (its high bits) the low byte, from 1; 0 for an empty bin. tokens are sorted."""
+    edges = np.arange(BINS, dtype=np.uint64) << np.uint64(64 - BINS.bit_length() + 1)
+    at = np.searchsorted(tokens, edges)
+    last = np.concatenate([at[1:], [len(tokens)]])
+    out = np.zeros(BINS, np.uint8)
+    some = at < last
+    out[some] = tokens[at[some]] % np.uint64(255) + np.uint64(1)
+    return out.tobytes()
+
+
+def alike(left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs of sketches may be of sets at the threshold."""
+    same, either = (np.zeros((len(left), len(right)), np.uint8) for _ in range(2))
+    for i in range(left.shape[1]):
+        a, b = left[:, i][:, None], right[:, i][None, :]
+        same += (a == b) & (a != 0)
+        either += (a | b) != 0
+    return same >= (threshold - SLACK) * either
+
+
 def children(tokens: np.ndarray, paths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The nodes that a set goes to from some nodes: place of the parent, and the child."""
     two = (mix(paths) >> np.uint64(62)) == 0
@@ -97,24 +123,25 @@ def lists(column: pa.ChunkedArray | pa.Array) -> Iterator[np.ndarray]:
 
 
 def signatures(keyed: DataFrame, runs: int) -> DataFrame:
-    """k, th, two hashes of the shingle set, its size and the nodes of the first level that it comes to."""
+    """k, th, two hashes of the shingle set, its size, its sketch and the nodes of the first level that it comes to."""
     roots = np.arange(1, runs + 1, dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             tops = mix(roots * _G)
             for batch in batches:
-                a, b, n, nodes = [], [], [], []
+                a, b, n, sk, nodes = [], [], [], [], []
                 for w in lists(batch.column("h")):
                     s = shingles(w)
                     a.append(int(mix(s).sum().view(np.int64)) if len(s) else 0)
                     b.append(int(mix(s ^ _G).sum().view(np.int64)) if len(s) else 0)
                     n.append(len(s))
+                    sk.append(sketch(s))
                     nodes.append(np.unique(children(s, tops)[1]).view(np.int64) if len(s) else np.zeros(0, np.int64))
-                yield pa.RecordBatch.from_pydict({"k": batch.column("k"), "th": batch.column("th"), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(n, pa.int64()), "nodes": pa.array(nodes, pa.list_(pa.int64()))})
+                yield pa.RecordBatch.from_pydict({"k": batch.column("k"), "th": batch.column("th"), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(n, pa.int64()), "sk": pa.array(sk, pa.binary()), "nodes": pa.array(nodes, pa.list_(pa.int64()))})
 
     kind = dict(keyed.dtypes)["k"]
-    return keyed.select("k", "th", word_hashes("t").alias("h")).mapInArrow(run, f"k {kind}, th long, a long, b long, n long, nodes array<long>")
+    return keyed.select("k", "th", word_hashes("t").alias("h")).mapInArrow(run, f"k {kind}, th long, a long, b long, n long, sk binary, nodes array<long>")
 
 
 def descend(keyed: DataFrame, active: DataFrame, reps: DataFrame) -> DataFrame:
@@ -179,13 +206,20 @@ def common(node: int, lists: list[np.ndarray], left: np.ndarray, right: np.ndarr
     return out > 0
 
 
-def own_pairs(part: tuple, lists: list[np.ndarray], n: np.ndarray, block: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Members on the left and on the right, and which pairs of them this bucket compares: sizes fit, no bucket before has them."""
-    node, p, q = part
+def sketches(rows: pd.DataFrame) -> np.ndarray:
+    return np.frombuffer(b"".join(rows["sk"]), np.uint8).reshape(len(rows), -1)
+
+
+def own_pairs(rows: pd.DataFrame, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Members on the left and on the right, and which pairs of them this bucket compares: sizes and sketches fit, no bucket before has them. rows: one of each member."""
+    node, p, q = rows[["node", "p", "q"]].to_numpy()[0]
+    n, block, lists, sk = rows["n"].to_numpy(), rows["block"].to_numpy(), list(rows["near"]), sketches(rows)
     left, right = np.flatnonzero(block == p), np.flatnonzero(block == q)
     small, large = np.minimum(n[left][:, None], n[right][None, :]), np.maximum(n[left][:, None], n[right][None, :])
     mine = small >= threshold * large - 1e-9
     mine &= np.triu(np.ones(mine.shape, bool), 1) if p == q else left[:, None] != right[None, :]
+    if mine.any():
+        mine &= alike(sk[left], sk[right], threshold)
     if mine.any():
         mine &= ~common(node, lists, left, right)
     return left, right, mine
@@ -223,14 +257,15 @@ def cuts(rows: pd.DataFrame) -> list[tuple[int, int]]:
 def needed(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """The rows of members that have a pair which their bucket compares."""
     keep = np.zeros(len(rows), bool)
-    n, block, keys = rows["n"].to_numpy(), rows["block"].to_numpy(), rows[["node", "p", "q"]].to_numpy()
+    n, keys, sk = rows["n"].to_numpy(), rows[["node", "p", "q"]].to_numpy(), sketches(rows)
     near = list(rows["near"])
     for a, b in cuts(rows):
         if b - a == 2 and keys[a, 1] == keys[a, 2]:  # most groups
-            low = [x[: np.searchsorted(x, keys[a, 0])] for x in near[a:b]]
-            keep[a:b] = min(n[a:b]) >= threshold * max(n[a:b]) - 1e-9 and not np.isin(low[0], low[1]).any()
+            if min(n[a:b]) >= threshold * max(n[a:b]) - 1e-9 and alike(sk[a : a + 1], sk[a + 1 : b], threshold)[0, 0]:
+                low = [x[: np.searchsorted(x, keys[a, 0])] for x in near[a:b]]
+                keep[a:b] = not np.isin(low[0], low[1]).any()
         elif b - a > 1:
-            left, right, mine = own_pairs(tuple(keys[a]), near[a:b], n[a:b], block[a:b], threshold)
+            left, right, mine = own_pairs(rows.iloc[a:b], threshold)
             keep[a + left[mine.any(1)]] = True
             keep[a + right[mine.any(0)]] = True
     return rows[keep]
@@ -245,8 +280,7 @@ def compare(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
     c = rows["c"].to_numpy()
     start = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
     one = rows.iloc[start]
-    part = tuple(one[["node", "p", "q"]].to_numpy()[0])
-    left, right, mine = own_pairs(part, list(one["near"]), one["n"].to_numpy(), one["block"].to_numpy(), threshold)
+    left, right, mine = own_pairs(one, threshold)
     none = pd.DataFrame({"a": [], "b": [], "n": []}).astype("int64")
     if not mine.any():
         return none
@@ -296,27 +330,28 @@ def found_links(keyed: DataFrame, classes: DataFrame, threshold: float) -> DataF
     """a, b, n: for each class its links (b = -1, n of them), and edges of a spanning forest of the links (n = 0)."""
     mates = C.written(buckets(keyed, classes), "buckets")
     near = mates.groupBy("c").agg(F.sort_array(F.collect_set("node")).alias("near"))  # of one class: bounded by runs and levels
-    rows = mates.join(near, "c").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("node", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "c", "n", "block", "near")
-    kind = "node long, p int, q int, c long, n long, block int, near array<long>"
+    rows = mates.join(near.join(classes.select("c", "sk"), "c"), "c").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("node", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "c", "n", "block", "near", "sk")
+    kind = "node long, p int, q int, c long, n long, block int, near array<long>, sk binary"
     some = rows.repartition("node", "p", "q").sortWithinPartitions("node", "p", "q").mapInPandas(lambda b: whole_groups(b, lambda x: needed(x, threshold)), kind)
     some = C.written(some.join(classes.select("c", "w", "rep.k", "rep.th"), "c"), "compared")
-    texts = keyed.join(C.small(some), ["k", "th"]).select("node", "p", "q", "c", "n", "w", "block", "near", word_hashes("t").alias("h"))
+    texts = keyed.join(C.small(some), ["k", "th"]).select(*some.columns, word_hashes("t").alias("h"))
     at = F.explode(F.sequence(F.lit(0), F.greatest(F.size("h") - 1, F.lit(0)), F.lit(PIECE)))
-    texts = texts.withColumn("piece", at).withColumn("h", F.expr(f"slice(h, piece + 1, {PIECE + WORDS - 1})")).where(f"piece = 0 OR size(h) >= {WORDS}")
-    return texts.repartition("node", "p", "q").sortWithinPartitions("node", "p", "q").mapInPandas(
+    texts = texts.drop("k", "th").withColumn("piece", at).withColumn("h", F.expr(f"slice(h, piece + 1, {PIECE + WORDS - 1})")).where(f"piece = 0 OR size(h) >= {WORDS}")
+    links = texts.repartition("node", "p", "q").sortWithinPartitions("node", "p", "q").mapInPandas(
         lambda b: whole_groups(b, lambda x: pd.concat([compare(x.iloc[i:j], threshold) for i, j in cuts(x)])), "a long, b long, n long"
     )
+    return C.written(links, "links", BATCH)
 
 
 def joined(docs: DataFrame, text: str, key: str, threshold: float, runs: int) -> DataFrame:
     """k, th, class_id, n_links, component_id, kept for every row of docs."""
     C.ship(docs.sparkSession)
     keyed = docs.select(key_of(docs, text, key).alias("k"), F.xxhash64(C.clean(docs[text])).alias("th"), C.clean(docs[text]).alias("t"))
-    signed = C.written(signatures(keyed, runs), "signatures")
-    classes = signed.where("n > 0").groupBy("a", "b", "n").agg(F.min(F.struct("k", "th")).alias("rep"), F.count("*").alias("w"), F.first("nodes").alias("nodes"))
+    signed = C.written(signatures(keyed, runs), "signatures", BATCH)
+    classes = signed.where("n > 0").groupBy("a", "b", "n").agg(F.min(F.struct("k", "th")).alias("rep"), F.count("*").alias("w"), F.first("sk").alias("sk"), F.first("nodes").alias("nodes"))
     classes = C.written(classes.withColumn("c", F.monotonically_increasing_id()), "classes")  # written, so that c stays
-    links = C.written(found_links(keyed, classes, threshold), "links")
+    links = found_links(keyed, classes, threshold)
     count = links.where("n > 0").groupBy(F.col("a").alias("c")).agg(F.sum("n").alias("links"))
     groups = C.components(links.where("n = 0")).select(F.col("id").alias("c"), "component")
     known = classes.select("a", "b", "n", "c", "rep", "w").join(count, "c", "left").join(groups, "c", "left")
