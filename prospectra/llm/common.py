@@ -62,15 +62,21 @@ def _remove(spark: SparkSession, path: str) -> None:
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def written(df: DataFrame, what: str, batch: int | None = None) -> DataFrame:
+#: Rows of a file of a small table.
+FILE_ROWS = 25_000
+
+
+def written(df: DataFrame, what: str, batch: int | None = None, rows: int | None = None) -> DataFrame:
     """The rows as a Parquet table in the shared folder: lineage ends there, and a lost executor loses nothing.
 
-    batch: rows that travel to a Python worker at a time, where rows are large.
+    batch: rows that travel to a Python worker at a time, where rows are large. rows: about how many there are, where they
+    are few or small, so that they go to as many files as they fill and not to one for each partition.
     Results are lazy and may read these tables at any time, so they go when the Python process ends normally.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     usual = spark.conf.get(BATCH)
+    df = df if rows is None else df.coalesce(1 + rows // FILE_ROWS)
     try:
         if batch:
             spark.conf.set(BATCH, str(batch))
@@ -123,7 +129,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -
     Nothing is collected but the count of edges that a round changed. Groups are reduced by min() and never
     gathered into an array, and the edges of a star's centre with millions of leaves meet in no task.
     """
-    now = written(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct(), "edges")
+    edges = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
+    now = written(edges.distinct(), "edges", rows=edges.count())
     before, n = None, now.count()
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -132,7 +139,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         low = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d"))
         star = with_least(down, low, n).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        now = written(star.where("u <> v").distinct(), "edges")
+        now = written(star.where("u <> v").distinct(), "edges", rows=n)
         n, total = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if (n, total) == before:
             break

@@ -152,9 +152,12 @@ def descend(keyed: DataFrame, active: DataFrame, reps: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in batches:
+                out = []
                 for c, n, nodes, w in zip(batch.column("c").to_pylist(), batch.column("n").to_pylist(), lists(batch.column("nodes")), lists(batch.column("h")), strict=True):
                     owner, child = children(shingles(w), nodes.view(np.uint64))
-                    yield pa.RecordBatch.from_pydict({"c": pa.array([c] * len(owner), pa.int64()), "n": pa.array([n] * len(owner), pa.int64()), "parent": pa.array(nodes[owner], pa.int64()), "node": pa.array(child.view(np.int64))})
+                    out.append((np.full(len(owner), c), np.full(len(owner), n), nodes[owner], child.view(np.int64)))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out, strict=True)], names=["c", "n", "parent", "node"])
 
     return rows.mapInArrow(run, "c long, n long, parent long, node long")
 
@@ -165,24 +168,26 @@ def sizes_of(rows: DataFrame) -> DataFrame:
 
 def buckets(keyed: DataFrame, classes: DataFrame) -> DataFrame:
     """node, c, n, blocks, block: the classes of every bucket with two or more."""
+    total = classes.count()
     reps = classes.select("c", "rep.k", "rep.th")
     rows = classes.select("c", "n", F.explode("nodes").alias("node"))
     done: list[DataFrame] = []
     for level in range(1, DEPTH + 1):
-        sizes = C.written(sizes_of(rows), "sizes")
+        sizes = C.written(sizes_of(rows), "sizes", rows=total)
         large = sizes.where((F.col("m") > GROUP) | (F.col("s") > SHINGLES))
         blocks = F.greatest(F.ceil(F.col("m") / GROUP), F.ceil(F.col("s") / SHINGLES)).cast("int").alias("blocks")
         split = sizes.where(F.col("m") > GROUP).select("node", "m") if level < DEPTH else None
         if split is None or not split.limit(1).count():
             done.append(rows.join(C.small(sizes.select("node", blocks)), "node"))
             break
-        active = C.written(rows.join(C.small(split), "node", "left_semi").distinct(), "active")
-        below = C.written(descend(keyed, active, reps).distinct(), "below")
+        of_split = split.agg(F.sum("m")).first()[0]
+        active = C.written(rows.join(C.small(split), "node", "left_semi").distinct(), "active", rows=of_split)
+        below = C.written(descend(keyed, active, reps).distinct(), "below", BATCH, of_split)
         most = below.groupBy("parent", "node").agg(F.count("*").alias("x")).groupBy("parent").agg(F.max("x").alias("x"))
-        parted = C.written(split.join(most, split["node"] == most["parent"]).where(F.col("x") < DENSE * F.col("m")).select("parent"), "parted")
+        parted = C.written(split.join(most, split["node"] == most["parent"]).where(F.col("x") < DENSE * F.col("m")).select("parent"), "parted", rows=of_split // GROUP)
         stay = sizes.join(C.small(parted), sizes["node"] == parted["parent"], "left_anti").select("node", blocks)
         done.append(rows.join(C.small(stay), "node"))
-        rows = C.written(below.join(C.small(parted), "parent", "left_semi").select("c", "n", "node"), "nodes")
+        rows = C.written(below.join(C.small(parted), "parent", "left_semi").select("c", "n", "node"), "nodes", rows=of_split)
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
@@ -258,13 +263,16 @@ def needed(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """The rows of members that have a pair which their bucket compares."""
     keep = np.zeros(len(rows), bool)
     n, keys, sk = rows["n"].to_numpy(), rows[["node", "p", "q"]].to_numpy(), sketches(rows)
-    near = list(rows["near"])
-    for a, b in cuts(rows):
-        if b - a == 2 and keys[a, 1] == keys[a, 2]:  # most groups
-            if min(n[a:b]) >= threshold * max(n[a:b]) - 1e-9 and alike(sk[a : a + 1], sk[a + 1 : b], threshold)[0, 0]:
-                low = [x[: np.searchsorted(x, keys[a, 0])] for x in near[a:b]]
-                keep[a:b] = not np.isin(low[0], low[1]).any()
-        elif b - a > 1:
+    near, ends = list(rows["near"]), np.array(cuts(rows))
+    two = ends[(ends[:, 1] - ends[:, 0] == 2) & (keys[ends[:, 0], 1] == keys[ends[:, 0], 2]), 0]  # most groups
+    x, y = sk[two], sk[two + 1]
+    fits = ((x == y) & (x != 0)).sum(1) >= (threshold - SLACK) * ((x | y) != 0).sum(1)
+    for a in two[fits & (np.minimum(n[two], n[two + 1]) >= threshold * np.maximum(n[two], n[two + 1]) - 1e-9)].tolist():
+        low = [v[: np.searchsorted(v, keys[a, 0])] for v in near[a : a + 2]]
+        keep[a : a + 2] = not len(np.intersect1d(*low, assume_unique=True))
+    done = set(two.tolist())
+    for a, b in ends.tolist():
+        if b - a > 1 and a not in done:
             left, right, mine = own_pairs(rows.iloc[a:b], threshold)
             keep[a + left[mine.any(1)]] = True
             keep[a + right[mine.any(0)]] = True
@@ -328,7 +336,7 @@ def products(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.
 
 def found_links(keyed: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     """a, b, n: for each class its links (b = -1, n of them), and edges of a spanning forest of the links (n = 0)."""
-    mates = C.written(buckets(keyed, classes), "buckets")
+    mates = C.written(buckets(keyed, classes), "buckets", rows=classes.count())
     near = mates.groupBy("c").agg(F.sort_array(F.collect_set("node")).alias("near"))  # of one class: bounded by runs and levels
     rows = mates.join(near.join(classes.select("c", "sk"), "c"), "c").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("node", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "c", "n", "block", "near", "sk")
@@ -350,7 +358,7 @@ def joined(docs: DataFrame, text: str, key: str, threshold: float, runs: int) ->
     keyed = docs.select(key_of(docs, text, key).alias("k"), F.xxhash64(C.clean(docs[text])).alias("th"), C.clean(docs[text]).alias("t"))
     signed = C.written(signatures(keyed, runs), "signatures", BATCH)
     classes = signed.where("n > 0").groupBy("a", "b", "n").agg(F.min(F.struct("k", "th")).alias("rep"), F.count("*").alias("w"), F.first("sk").alias("sk"), F.first("nodes").alias("nodes"))
-    classes = C.written(classes.withColumn("c", F.monotonically_increasing_id()), "classes")  # written, so that c stays
+    classes = C.written(classes.withColumn("c", F.monotonically_increasing_id()), "classes", rows=signed.count())  # written, so that c stays
     links = found_links(keyed, classes, threshold)
     count = links.where("n > 0").groupBy(F.col("a").alias("c")).agg(F.sum("n").alias("links"))
     groups = C.components(links.where("n = 0")).select(F.col("id").alias("c"), "component")
@@ -370,7 +378,7 @@ def jaccard_join(docs: DataFrame, text: str = "text", key: str = "doc_id", thres
 def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", **how: float) -> DataFrame:
     """One row of each component: that with the smallest key (of equal keys, the smallest hash of the text). All columns of docs."""
     found = joined(docs, text, key, how.get("threshold", THRESHOLD), how.get("runs", RUNS))
-    kept = C.written(found.where("kept").groupBy("k", "th").agg(F.count("*").alias("rows")), "kept")
+    kept = C.written(found.where("kept").groupBy("k", "th").agg(F.count("*").alias("rows")), "kept", rows=docs.count())
     names = [f"c{i}" for i in range(len(docs.columns))]
     out = docs.select(*(docs[c].alias(n) for c, n in zip(docs.columns, names, strict=True)), key_of(docs, text, key).alias("k"), F.xxhash64(C.clean(docs[text])).alias("th"))
     out = out.join(C.small(kept.select("k", "th")), ["k", "th"], "left_semi")

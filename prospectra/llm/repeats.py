@@ -177,18 +177,19 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, words: boo
     """r, s, e: spans of bytes that windows cover which start anywhere else too; docs: r, t."""
     C.ship(docs.sparkSession)
     every = C.written(runs(docs, length, gram, words), "runs")
+    few = every.count() // 4  # rows of the tables to come, about
     keys = every.groupBy("key").agg(F.count("*").alias("n"), F.min("stretch").alias("a"), F.max("stretch").alias("b")).where("n > 1")
-    keys = C.written(keys.select("key", (F.col("a") == F.col("b")).alias("alike")), "grams")
-    left = C.written(every.join(C.small(keys), "key"), "digits")
+    keys = C.written(keys.select("key", (F.col("a") == F.col("b")).alias("alike")), "grams", rows=few // 4)
+    left = C.written(every.join(C.small(keys), "key"), "digits", rows=few)
     out = left.where("alike").select("r", "s", "e")
     other = left.where("not alike")
-    kinds = C.written(other.groupBy("key", "stretch").agg(F.count("*").alias("n"), F.min(F.struct("r", "lo", "s", "e")).alias("one")), "stretches")
+    kinds = C.written(other.groupBy("key", "stretch").agg(F.count("*").alias("n"), F.min(F.struct("r", "lo", "s", "e")).alias("one")), "stretches", rows=few // 4)
     out = out.unionByName(other.join(C.small(kinds.where("n > 1").select("key", "stretch")), ["key", "stretch"], "left_semi").select("r", "s", "e"))
     groups = kinds.groupBy("key").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("least = 1")
-    chosen = C.written(kinds.join(C.small(groups), "key").select("key", "n", "m", "one.*"), "chosen")
+    chosen = C.written(kinds.join(C.small(groups), "key").select("key", "n", "m", "one.*"), "chosen", rows=few // 4)
     text = docs.select("r", F.col("t").cast("binary").alias("t"))
     text = text.join(C.small(chosen), "r").select("key", "n", "m", "r", "lo", "s", F.expr("substring(t, s + 1, e - s)").alias("x")).dropDuplicates(["key", "r", "lo"])
-    text = C.written(text, "texts")
+    text = C.written(text, "texts", rows=few // 4)
 
     def within(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def done(group: pd.DataFrame) -> pd.DataFrame:
@@ -219,8 +220,8 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, words: boo
                 h = roll.some(place, place + length).view(np.int64)
                 yield pd.DataFrame({"key": batch["key"].to_numpy()[row], "h": h, "n": batch["n"].to_numpy()[row], "r": batch["r"].to_numpy()[row], "s": s.astype(np.int32), "e": e.astype(np.int32)})
 
-    few = text.where(f"m <= {HOT}").repartition("key").sortWithinPartitions("key").mapInPandas(within, "r long, s int, e int")
-    out = out.unionByName(few)
+    usual = text.where(f"m <= {HOT}").repartition("key").sortWithinPartitions("key").mapInPandas(within, "r long, s int, e int")
+    out = out.unionByName(usual)
     if groups.where(f"m > {HOT}").limit(1).count():
         many = C.written(text.where(f"m > {HOT}").mapInPandas(single, "key long, h long, n long, r long, s int, e int"), "hot")
         again = many.groupBy("key", "h").agg(F.count("*").alias("c")).where("c > 1").select("key", "h")
