@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..errors import PruningError
+from .order import ranked
+
 STATUSES = ("unlabeled", "labeled", "pruned")
 
 
@@ -54,13 +57,84 @@ def first_of_each(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.withColumn("__i", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("__i = 1").drop("__i")
 
 
-def keep_best(predictions: DataFrame, fraction: float, direction: str = "higher") -> tuple[DataFrame, int]:
+def first_row(rows: DataFrame, key: str, place: str) -> DataFrame:
+    """The row of each key that came first by place, whatever its other columns are; one aggregate, no window."""
+    rest = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.min_by(F.struct(*rest), place).alias("__row")).select(key, "__row.*")
+
+
+def mapped(value: str, names: dict, default: object = None, strict: bool = False) -> Column:
+    """The value's entry in names; others give the default, or stop the query if strict."""
+    known = F.lit(None)
+    for k, v in names.items():
+        known = F.when(F.col(value) == F.lit(k), F.lit(v)).otherwise(known)
+    inside = F.col(value).isin(*names)
+    if strict:
+        return F.when(inside, known).otherwise(F.raise_error(F.concat(F.lit(f"{value} has no entry for "), F.coalesce(F.col(value).cast("string"), F.lit("null")))))
+    return F.when(inside, known).otherwise(F.lit(default))
+
+
+def keep_count(n: int, fraction: float) -> int:
+    """How many of n rows score pruning keeps: all but int(n * fraction), at least one."""
+    return max(1, n - int(n * fraction)) if n else 0
+
+
+def score_ranks(predictions: DataFrame, direction: str = "higher") -> DataFrame:
+    """Adds position, best first, smaller ids first among ties, and total; no limit that grows with the table."""
+    score = (1 if direction == "higher" else -1) * F.col("prediction")
+    return ranked(predictions, score, "id", descending=True, ties=False)
+
+
+def keep_best(predictions: DataFrame, fraction: float, direction: str = "higher", **others: object) -> tuple[DataFrame, int]:
     """Score pruning: without the worst int(n * fraction) rows, at least one kept, smaller ids kept among ties."""
-    from .order import best
-
-    if not 0 <= fraction <= 0.9:
-        raise ValueError("fraction must lie in [0, 0.9]")
-    n = predictions.count()
-    keep = max(1, n - int(n * fraction)) if n else 0
-    sign = 1 if direction == "higher" else -1
-    return best(predictions.withColumn("__score", sign * F.col("prediction")), "__score", keep).drop("__score"), keep
+    from . import checks
+
+    checks.pruning(fraction, direction, **others)
+    keep = keep_count(predictions.count(), fraction)
+    return score_ranks(predictions, direction).where(F.col("position") <= keep).drop("position", "total"), keep
+
+
+def prune_stats(predictions: DataFrame, fraction: float, direction: str = "higher") -> DataFrame:
+    """One row: rows removed, their share, the score of the last row kept, and smallest, largest and mean prediction kept."""
+    from . import checks
+
+    checks.pruning(fraction, direction)
+    keep = keep_count(predictions.count(), fraction)
+    kept = F.col("position") <= keep
+    r = lambda c: F.round(c, 6)
+    return score_ranks(predictions, direction).agg(
+        F.count_if(kept).alias("kept"), F.count_if(~kept).alias("removed"), r(F.count_if(~kept) / F.count("*")).alias("removed_share"),
+        r(F.max(F.when(F.col("position") == keep, F.col("prediction")))).alias("threshold"),
+        r(F.min(F.when(kept, F.col("prediction")))).alias("kept_min"), r(F.max(F.when(kept, F.col("prediction")))).alias("kept_max"), r(F.avg(F.when(kept, F.col("prediction")))).alias("kept_mean"),
+    )
+
+
+class Pruner:
+    """What takes candidates out of a pool: prune() gives the rows to keep. Input checks are done for it."""
+
+    name = "none"
+
+    def prune(self, predictions: DataFrame) -> DataFrame:
+        return predictions
+
+    def __call__(self, predictions: DataFrame) -> DataFrame:
+        for c in ("id", "prediction"):
+            if c not in predictions.columns:
+                raise PruningError(f"column {c} is missing; the columns are {', '.join(predictions.columns)}")
+        return self.prune(predictions)
+
+
+class ScorePruner(Pruner):
+    name = "score"
+
+    def __init__(self, fraction: float = 0.1, direction: str = "higher", **others: object):
+        from . import checks
+
+        checks.pruning(fraction, direction, **others)
+        self.fraction, self.direction = fraction, direction
+
+    def prune(self, predictions: DataFrame) -> DataFrame:
+        return keep_best(predictions, self.fraction, self.direction)[0]
+
+
+PRUNERS = {p.name: p for p in (Pruner, ScorePruner)}

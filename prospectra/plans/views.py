@@ -56,5 +56,6 @@ SQL = {
 
 
 def sql(query: str) -> str:
-    """The query with the views in front of it."""
-    return "WITH " + ", ".join(f"{k} AS ({v})" for k, v in SQL.items()) + " " + query
+    """The query with the views in front of it, before its own WITH."""
+    views = "WITH " + ", ".join(f"{k} AS ({v})" for k, v in SQL.items())
+    return f"{views}, {query[5:]}" if query.startswith("WITH ") else f"{views} {query}"

@@ -6,7 +6,9 @@ lazy and split files across tasks; IDs that a file lacks are numbered in the ord
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FORMATS = {".csv": "csv", ".txt": "csv", ".tsv": "csv", ".sdf": "sdf", ".sd": "sdf", ".sdf.gz": "sdf", ".smi": "smi", ".smiles": "smi"}
@@ -63,20 +65,22 @@ def read_csv_pool(spark: SparkSession, path: str, structure: str | None = None,
     return standard_columns(raw, structure, identifier, name)
 
 
-def read_smi_pool(spark: SparkSession, path: str) -> DataFrame:
-    """Tab-separated structure and name after a header line; lines without a structure are skipped."""
+def read_smi_pool(spark: SparkSession, path: str, valid: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Tab-separated structure and name after a header line; lines without a structure are skipped, and those that `valid` (a toolkit's test) refuses."""
     raw = spark.read.option("header", True).option("sep", "\t").csv(path)
     first, *rest = raw.columns
     out = raw.where(F.length(F.trim(F.col(f"`{first}`"))) > 0).withColumnRenamed(first, "SMILES")
+    out = out.where(valid(F.col("SMILES"))) if valid else out
     if rest:
         return out.withColumnRenamed(rest[0], "ID")
     return standard_columns(out)
 
 
-def read_sdf_pool(spark: SparkSession, path: str, properties: list[str] | None = None, identifier: str | None = None) -> DataFrame:
+def read_sdf_pool(spark: SparkSession, path: str, properties: list[str] | None = None, identifier: str | None = None, convert: Callable[[Column], Column] | None = None) -> DataFrame:
     """Records up to $$$$: the molblock, its title, and the data items as columns.
 
-    Without `properties` one pass finds the names. SMILES is that item, if the file has it: molblocks need a toolkit.
+    Without `properties` one pass finds the names. SMILES is that item, if the file has it, or what `convert` (a toolkit's
+    function, as a pandas UDF) makes of the molblock; records that it can't convert are skipped.
     """
     raw = spark.read.option("lineSep", RECORD_END).text(path)
     block = F.regexp_replace(F.regexp_replace("value", "\r\n?", "\n"), "^\n", "")
@@ -91,6 +95,8 @@ def read_sdf_pool(spark: SparkSession, path: str, properties: list[str] | None =
         found = rows.select(F.explode(F.map_keys("__items")).alias("k")).distinct().orderBy("k").collect()  # names of columns
         properties = [r["k"] for r in found]
     out = rows.select("title", "molblock", *(F.try_element_at("__items", F.lit(p)).alias(p) for p in properties))
+    if convert:
+        out = out.withColumn("SMILES", convert(F.col("molblock"))).where("SMILES IS NOT NULL")
     if identifier and identifier in properties:
         return out.withColumnRenamed(identifier, "ID")
     if "ID" in properties:
