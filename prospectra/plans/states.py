@@ -8,6 +8,7 @@ from operator import add as plus
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import splitmix
 from ..operators import acquisition as A
 from ..operators import checks, cycle, oracles, order, pool
 from . import views as V
@@ -147,3 +148,10 @@ def schedule_expand(spark, d):
     """One row a cycle; blocks without their own pruning inherit the campaign's."""
     blocks = [*cycle.parse_schedule("random:0.02 greedy:0.01*5"), cycle.CycleConfig("ucb", 3, 0.01, "none")]
     return spark.createDataFrame([(i, c.strategy, c.batch_fraction, c.pruning) for i, c in enumerate(cycle.expand(blocks, pruning="score"))], "cycle long, strategy string, batch_fraction double, pruning string")
+
+
+@add("splitmix_uniform", f"SELECT id, global_index, u FROM (SELECT id, global_index, {splitmix.uniform_sql('global_index', 42, 3)} AS u FROM (SELECT id, row_number() OVER (ORDER BY id) - 1 AS global_index FROM cand))")
+def splitmix_uniform(spark, d):
+    """Uniform numbers of the stream (seed 42, cycle 3) by the rows' places; equal to the last bit."""
+    rows = order.indexed(V.cand(spark, d).select("id"), "id")
+    return rows.select("id", "global_index", splitmix.uniform(F.col("global_index"), 42, 3).alias("u"))
