@@ -80,7 +80,7 @@ def written(df: DataFrame, what: str, batch: int | None = None, rows: int | None
     try:
         if batch:
             spark.conf.set(BATCH, str(batch))
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     finally:
         spark.conf.set(BATCH, usual)
     atexit.register(_remove, spark, path)

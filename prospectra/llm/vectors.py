@@ -91,7 +91,7 @@ def matrix(column: pd.Series) -> np.ndarray:
 
 
 def forest(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the graph on n nodes with edges a-b."""
+    """Edges of a star forest with the components of the graph on n nodes with edges a-b: from each node to its component's smallest."""
     top = list(range(n))
 
     def find(x: int) -> int:
@@ -100,13 +100,11 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
             x = top[x]
         return x
 
-    out = []
     for x, y in zip(a.tolist(), b.tolist(), strict=True):
         rx, ry = find(x), find(y)
         if rx != ry:
             top[max(rx, ry)] = min(rx, ry)
-            out.append((x, y))
-    return out
+    return [(x, r) for x in range(n) if (r := find(x)) != x]
 
 
 def near_dedup(rows: DataFrame, vector: str = "embedding", key: str = "vec_id", threshold: float = THRESHOLD, probes: int = PROBES) -> DataFrame:
@@ -132,7 +130,7 @@ def near_dedup(rows: DataFrame, vector: str = "embedding", key: str = "vec_id",
     scaled = rows.select(F.coalesce(F.col(key).cast("long"), F.xxhash64(vector)).alias("k"), F.col(vector).alias("v")).mapInPandas(unit, "k long, x binary")
     scaled = C.written(scaled.withColumn("c", F.when(F.col("x").isNotNull(), F.md5("x"))), "unit")
     one = scaled.where("x is not null").groupBy("c").agg(F.min("k").alias("id"), F.count("*").alias("w"), F.first("x").alias("x"))
-    one = C.written(one, "vector")
+    one = C.written(one, "vector", rows=scaled.count())
     n = one.count()
     usual = one.groupBy(F.length("x").alias("n")).count().orderBy(F.desc("count"), "n").first()
     if usual is None:

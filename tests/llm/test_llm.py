@@ -81,7 +81,9 @@ def test_base_rules_against_brute_force(docs, rows, none):
 
 def test_buckets_grow_with_the_features(spark, docs, monkeypatch):
     many = spark.range(2800).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(599)), lambda i: F.concat(F.col("id"), F.lit("x"), i))).alias("text"))
-    assert rules.fitting(docs) == rules.BUCKETS and rules.fitting(many) == 2 * rules.BUCKETS  # 3.4 million distinct features
+    assert rules.fitting(docs) == rules.BUCKETS and rules.fitting(many) == rules.BUCKETS  # 1.7 million distinct words, 26 a bucket
+    monkeypatch.setattr(rules, "FILL", 10)
+    assert rules.fitting(many) == 4 * rules.BUCKETS
     twice = docs.unionByName(docs.limit(3))
     wide = twice.withColumn("llr", F.lit(7))
     array = rules.quality_rules(wide, docs.where("doc_id < 3")).collect()
