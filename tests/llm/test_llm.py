@@ -117,18 +117,68 @@ def test_language_model(docs, rows, none):
     assert all(r.score == 0 for r in language.score(docs, F.lit(False)).collect())
 
 
+def test_score_against_a_closed_form(spark):
+    """Where each pair of neighbours occurs once, every seating has one table a pair, and the score is known exactly."""
+    texts = ["a b c d", "b d a c", "e f", ""]
+    got = table(language.score(spark.createDataFrame([*enumerate(texts), (9, "a b e zz"), (10, None)], "doc_id int, text string"), F.col("doc_id") < 4))
+    pairs = collections.Counter((u, w) for t in texts for u, w in zip(["<s>", *t.split()], [*t.split(), "</s>"]))
+    few = {p: n for p, n in pairs.items() if n > 1}
+    assert not few, few
+    (d0, d2), (s0, s2) = language.DISCOUNT, language.STRENGTH
+    tables, customers, at_root = (collections.Counter(x) for x in ([u for u, _ in pairs], [u for u, _ in pairs], [w for _, w in pairs]))
+    for k, t in [*enumerate(texts), (9, "a b e zz")]:
+        want = 0.0
+        for u, w in zip(["<s>", *t.split()], [*t.split(), "</s>"]):
+            p0 = (at_root[w] - d0 if at_root[w] else s0 + d0 * len(at_root)) / (s0 + len(pairs))
+            want += np.log10((((1 - d2) if (u, w) in pairs else 0) + (s2 + d2 * tables[u]) * p0) / (s2 + customers[u]))
+        assert abs(got[k].score - want) < 1e-4 and got[k].train_tokens == len(pairs)
+
+
+def test_seating_follows_the_posterior():
+    """Gibbs moves of three customers of a dish, against all their partitions."""
+    rng, d, new = np.random.default_rng(4), 0.8, 0.7
+    sizes = np.zeros((40_000, 3))
+    for _ in range(3):
+        language.sit(sizes, np.full(len(sizes), new), d, rng)
+    for _ in range(12):
+        for _ in range(3):
+            language.get_up(sizes, rng)
+            language.sit(sizes, np.full(len(sizes), new), d, rng)
+    weight = np.array([new * (1 - d) * (2 - d), 3 * new**2 * (1 - d), new**3])
+    share = np.bincount((sizes > 0).sum(1), minlength=4)[1:] / len(sizes)
+    assert (sizes.sum(1) == 3).all() and np.abs(share - weight / weight.sum()).max() < 0.01
+
+
 def test_probabilities_sum_to_one():
-    dice = np.random.default_rng(1)
-    words = (np.arange(1, 40, dtype=np.uint64) << np.uint64(30))
-    keys = np.unique(dice.choice(words, 300) | dice.integers(0, 64, 300).astype(np.uint64))
-    counts = dice.integers(0, 9, len(keys))
-    c2 = np.bincount((keys & language.LOW).astype(int), counts, 64).astype(float)
-    d = language.Dishes(keys, counts)
-    totals = [d.tables(t2, t1) for t2, _, t1, _ in d.sweeps(1.0, 3)]
-    for u in range(64):
-        every = np.concatenate([d.words, [np.uint64(1) << np.uint64(60)]]) | np.uint64(u)
-        p = d.predict(every, c2, totals, float(len(d.words)), 1.0, 3)[1]
-        assert (p > 0).all() and abs(p.sum() - 1) < 1e-9
+    rng = np.random.default_rng(1)
+    words = np.sort(rng.integers(1, 1 << 62, 40).astype(np.uint64))
+    w, u = np.divmod(np.unique(rng.integers(0, 40 * 16, 300)), 16)
+    counts = rng.integers(0, 40, len(w))
+    every = np.arange(41 * 16)
+    unknown = np.concatenate([words, [np.uint64(1) << np.uint64(63)]])
+    d = language.Dishes(unknown, np.concatenate([w, every // 16]), np.concatenate([u, every % 16]), np.concatenate([counts, np.zeros(len(every), int)]))
+    c2 = np.bincount(u, counts, 16).astype(float)
+    totals = [(c0.sum(), np.bincount(d.u, t2, 16)) for t2, c0 in d.sweeps(c2, 1.0, 3)]
+    known = float((d.known > 0).sum())
+    p = d.predict(c2, totals, known, 1.0, 3)
+    got = {int(x): v for x, v in zip(d.asked, p)}
+    for context in range(16):
+        mass = [got[(i << 20) | context] for i in range(41)]
+        rest = [m for i, m in enumerate(mass) if d.known[i] == 0]
+        assert min(mass) > 0 and abs(sum(m for i, m in enumerate(mass) if d.known[i]) + rest[0] - 1) < 1e-9
+
+
+def test_blobs_round_trip():
+    rng = np.random.default_rng(2)
+    words = np.sort(rng.integers(1, 1 << 62, 50).astype(np.uint64))
+    w, u = np.divmod(np.unique(rng.integers(0, 50 * 900, 400)), 900)
+    counts = rng.choice([0, 1, 254, 255, 256, 70_000], len(w))
+    for wide in (False, True):
+        back = language.unpack(*language.pack(words, w, u, counts, wide), wide)
+        assert all(np.array_equal(x, y) for x, y in zip(back, (words, w, u, counts)))
+    x = rng.integers(0, 1 << 24, 99)
+    assert np.array_equal(language.from_three(language.three(x)), x)
+    assert [language.context_bits(n) for n in (0, 10**8, 10**9, 5 * 10**10, 10**15)] == [10, 10, 12, 16, 20]
 
 
 def test_packing_round_trip(docs, rows, none):
