@@ -87,9 +87,16 @@ def written(df: DataFrame, what: str, batch: int | None = None, rows: int | None
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks a table for broadcast if a count shows that it has no more than so many rows; else joins shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def refuse(docs: DataFrame, *names: str) -> None:
+    """Stops if the input has columns of these names: the result has its own."""
+    if clash := set(names) & set(docs.columns):
+        raise ValueError(f"columns of the input have names of the result: {', '.join(sorted(clash))}")
+
+
+def small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Marks a table for broadcast if a count shows that it has no more than so many rows (BROADCAST_ROWS); else joins shuffle."""
+    most = BROADCAST_ROWS if rows is None else rows
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def clean(text: str | Column = "text") -> Column:

@@ -1,13 +1,16 @@
 """Operator 6, licence scans: Dice coefficient of word bigrams between normalised text and licence templates.
 
-Candidates of a text are its lines, its blocks between blank lines and the whole text, each once. Normalised: lower
-case, everything but a-z and 0-9 becomes one space. A template can reach the threshold t only for candidates with
+Candidates of a text are its lines, its blocks between blank lines, the whole text, and, wherever it has a template's first
+two words one after the other, as many words from there as the template has: a notice may stand beside other words, or run
+over lines and comment signs. Candidates that are equal when normalised count once. Normalised: lower case, everything but
+a-z and 0-9 becomes one space. A template can reach the threshold t only for candidates with
 between t/(2-t) and (2-t)/t times its bigrams; others are not compared. A match has a Dice coefficient of t or more, so
 it holds at least t/(2-t) of a template's bigrams: texts without any of the words that so many bigrams can't do without
 are passed over (nothing is lost by it).
 No Python runs on executors; nothing is shuffled but the matches.
 
-Null, empty and one-word texts have no bigrams and no matches; a repeated line counts once. Empty tables stay empty.
+Null, empty and one-word texts have no bigrams and no matches; a repeated line counts once. Very long texts are read whole.
+Rows with the same key count as one document. Empty tables stay empty. Columns other than key and text take no part.
 """
 
 from __future__ import annotations
@@ -47,8 +50,12 @@ def bigrams(w: str) -> Column:
     return F.array_distinct(F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w)), lambda x, y: F.concat(x, F.lit(" "), y)))
 
 
+def normal_words(text: str) -> list[str]:
+    return "".join(c if c in "abcdefghijklmnopqrstuvwxyz0123456789" else " " for c in text.lower()).split()
+
+
 def plain_bigrams(text: str) -> list[str]:
-    w = "".join(c if c in "abcdefghijklmnopqrstuvwxyz0123456789" else " " for c in text.lower()).split()
+    w = normal_words(text)
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(w, w[1:], strict=False)))
 
 
@@ -77,10 +84,20 @@ def licence_scan(docs: DataFrame, text: str = "text", key: str = "doc_id", templ
     # As an array of one text, which makes its lower case once only.
     may = lambda x: F.exists(F.array(F.lower(x)), lambda y: reduce(or_, (F.contains(y, F.lit(w)) for w in needed), F.lit(False))) if needed is not None else F.lit(True)
     docs = docs.where(may(t))
-    parts = F.array_distinct(F.concat(F.split(t, "\n"), F.split(t, "\n[ \t\r]*\n"), F.array(t)))
+    docs = docs.withColumn("__all", F.split(normal(t), " "))
+
+    def windows(w: list[str]) -> Column:
+        """Where the template's first two words stand, as many words as it has."""
+        at = F.sequence(F.lit(1), F.greatest(F.size("__all") - 1, F.lit(1)))
+        starts = F.filter(at, lambda i: (F.get("__all", i - 1) == w[0]) & (F.get("__all", i) == w[1]))
+        return F.transform(starts, lambda i: F.array_join(F.slice("__all", i, F.lit(len(w))), " "))
+
+    plain = [w for w in map(normal_words, (templates or TEMPLATES).values()) if len(w) > 1]
     # A candidate with fewer spaces than the least bigrams allowed cannot match: tested before the normal form is made.
-    rows = docs.select(F.col(key).alias("__key"), F.explode(parts).alias("__c")).where((F.length("__c") >= 2 * low) & may(F.col("__c")))
-    rows = rows.select("__key", F.split(normal(F.col("__c")), " ").alias("__w")).where(F.size("__w") > low).withColumn("__g", bigrams("__w"))
+    parts = F.filter(F.array_distinct(F.concat(F.split(t, "\n"), F.split(t, "\n[ \t\r]*\n"))), lambda c: (F.length(c) >= 2 * low) & may(c))
+    found = F.concat(F.transform(parts, normal), F.array(F.array_join("__all", " ")), *(windows(w) for w in plain))
+    rows = docs.select(F.col(key).alias("__key"), F.explode(F.array_distinct(found)).alias("__c"))
+    rows = rows.select("__key", F.split("__c", " ").alias("__w")).where(F.size("__w") > low).withColumn("__g", bigrams("__w"))
     rows = rows.withColumn("__n", F.size("__g")).where(F.col("__n") >= low)
     n = F.col("__n")
     found = []
@@ -96,11 +113,19 @@ def licence_scan(docs: DataFrame, text: str = "text", key: str = "doc_id", templ
 def licence_sql(threshold: float = THRESHOLD) -> str:
     """The same for DuckDB."""
     rows = ", ".join("('{}', [{}])".format(k, ", ".join(f"'{g}'" for g in plain_bigrams(v))) for k, v in TEMPLATES.items())
+    starts = {tuple(w[:2]) + (len(w),) for w in map(normal_words, TEMPLATES.values())}
+    firsts = ", ".join(f"('{x}', '{y}', {n})" for x, y, n in sorted(starts))
+    may = " OR ".join(f"contains(lower(t), '{x}')" for x in sorted({x for x, _, _ in starts}))
     return f"""
 WITH templates(licence, tg) AS (VALUES {rows}),
-parts AS (SELECT doc_id, unnest(list_distinct(list_concat(list_concat(string_split(coalesce(text, ''), chr(10)),
-  string_split_regex(coalesce(text, ''), '\\n[ \\t\\r]*\\n')), [coalesce(text, '')]))) AS part FROM documents),
-ws AS (SELECT doc_id, list_filter(string_split(regexp_replace(lower(part), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM parts),
+firsts(x, y, n) AS (VALUES {firsts}),
+whole AS (SELECT doc_id, coalesce(text, '') AS t, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM documents),
+windows AS (SELECT doc_id, t, list(array_to_string(w[i:i + n - 1], ' ')) AS found FROM (SELECT doc_id, t, w, unnest(range(1, len(w))) AS i FROM whole
+  WHERE {may}) JOIN firsts ON w[i] = x AND w[i + 1] = y GROUP BY doc_id, t),
+parts AS (SELECT whole.doc_id, unnest(list_distinct(list_concat(list_concat(list_concat(string_split(whole.t, chr(10)),
+  string_split_regex(whole.t, '\\n[ \\t\\r]*\\n')), [whole.t]), coalesce(found, [])))) AS part
+  FROM whole LEFT JOIN windows ON whole.doc_id = windows.doc_id AND whole.t = windows.t),
+ws AS (SELECT DISTINCT doc_id, list_filter(string_split(regexp_replace(lower(part), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM parts),
 gs AS (SELECT doc_id, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM ws WHERE len(w) > 1),
 scored AS (SELECT doc_id, licence, 2.0 * len(list_intersect(g, tg)) / (len(g) + len(tg)) AS dice FROM gs, templates
   WHERE len(g) BETWEEN {threshold / (2 - threshold)} * len(tg) AND {(2 - threshold) / threshold} * len(tg))

@@ -7,7 +7,8 @@ The copies are dealt out by a hash and sorted by it, so that any run of output r
 Only counts by source are joined back: broadcast if a count shows few sources, else salted, so that a source with a
 third of all rows is read by many tasks. A null source is a source of its own, named "". Sources without a given weight
 share `rest`; a weight of 0 drops a source. Rows with equal keys get equal numbers of copies; a
-null key counts as empty. Empty tables stay empty.
+null key counts as empty. Empty tables stay empty. Texts of any length go through as they are, and so do other columns; one
+named copy or mix_key raises an error.
 """
 
 from __future__ import annotations
@@ -53,6 +54,7 @@ def mix(docs: DataFrame, weights: dict[str, float], rest: float = 0.0, epochs: f
     epochs: expected rows of the result as a multiple of the input's. Text is shuffled once, by mix_key.
     """
     spark = docs.sparkSession
+    C.refuse(docs, "copy", "mix_key")
     src = F.coalesce(F.col(source).cast("string"), F.lit(""))
     stats = docs.groupBy(src.alias("__s")).agg(F.count("*").alias("__n"))
     named = spark.createDataFrame([(k, float(v)) for k, v in weights.items()], "__s string, __w double")

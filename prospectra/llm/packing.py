@@ -8,8 +8,9 @@ smallest piece that overflows it is cut and its rest waits on. At a partition's
 of two, which need no padding. Pieces never leave the task that made their ids, so nothing is shuffled; a task holds at
 most `buffer` pieces shorter than a window and one document. A lost task makes the same sequences again.
 
-Null and empty texts have only the end id. Rows with the same key are documents of their own; `copy` columns and others
-can be kept by `keep`. An empty table has no pieces.
+Null and empty texts have only the end id. Rows with the same key are documents of their own. A very long text is one
+document, whose ids are in memory at a time. An empty table has no pieces. Columns other than key and text take no part,
+whatever their names.
 """
 
 from __future__ import annotations

@@ -7,7 +7,9 @@ feature's table. Scores are sums of table entries, looked up for whole Arrow bat
 
 The fit sees a bounded sample of labelled rows (FIT_ROWS, the smallest hashes of their keys); every row is scored.
 Labels, languages, sources and keys are no inputs of a score. Null and empty texts are scored as texts without words.
-Contradicting labels of a key all count. Without labelled rows every score is 0.5.
+Contradicting labels of a key all count. Without labelled rows every score is 0.5. Rows with the same key are scored each by
+its text. Very long texts are read whole by the functions that count. An empty table gives an empty result. Other columns
+come out as they went in; one named score or predicted raises an error.
 """
 
 from __future__ import annotations
@@ -182,8 +184,9 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
 
 def classify(docs: DataFrame, model: PairwiseAdditiveModel, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """All columns of docs with score and predicted."""
-
     C.ship(docs.sparkSession)
+    C.refuse(docs, "score", "predicted")
+
     @F.pandas_udf("double")
     def score(x: pd.Series) -> pd.Series:
         return pd.Series(model.predict(np.stack(x.to_numpy())) if len(x) else np.zeros(0))

@@ -243,8 +243,7 @@ def merged(found: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, words: bool = False) -> DataFrame:
     """All columns of docs, the text without its repeated bytes (decoded; a sign that a cut breaks is dropped), and
     n_bytes, n_removed, n_spans and kept_sha256 (of the remaining bytes). length and gram count bytes, or words."""
-    if clash := set(RESULTS) & set(docs.columns):
-        raise ValueError(f"columns of the input have names of the result: {', '.join(sorted(clash))}")
+    C.refuse(docs, *RESULTS)
     names = [c for c in docs.columns if c != text]
     whole = docs.select(*(docs[c].alias(f"c{i}") for i, c in enumerate(names)), C.clean(docs[text]).alias("t"))
     whole = whole.withColumn("r", F.xxhash64(*(c for c, kind in whole.dtypes if not kind.startswith("map"))))

@@ -143,8 +143,7 @@ def with_join(out: DataFrame, table: DataFrame, text: str, buckets: int) -> Data
 
 def quality_rules(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD, buckets: int | None = None) -> DataFrame:
     """All columns of docs with the base rules' columns, llr_score and kept. trusted: has the keys of trusted documents. buckets: a power of two, or as many as fit the features."""
-    if clash := set(RESULTS) & set(docs.columns):
-        raise ValueError(f"columns of the input have names of the result: {', '.join(sorted(clash))}")
+    C.refuse(docs, *RESULTS)
     buckets = buckets or fitting(docs, text)
     table = ratios(docs, trusted, text, key, buckets)
     out = base_rules(hashed(docs, C.clean(text)), text)

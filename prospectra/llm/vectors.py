@@ -10,7 +10,8 @@ one block of each, whatever the list's size, and gives counts and a spanning for
 
 Null and zero vectors, and vectors with null or non-finite components or of another dimension than the first usual one,
 link with nothing and are kept. Repeated rows of a vec_id with equal vectors count as vectors of their own. A
-null key is replaced by a hash of the vector.
+null key is replaced by a hash of the vector. Keys are integers. An empty table gives an empty result. Columns other than the
+key and the vector take no part, whatever their names.
 """
 
 from __future__ import annotations

@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import os
 import re
 import zlib
 
@@ -57,6 +58,85 @@ def test_jaccard_against_brute_force(docs, rows, none):
     assert near.jaccard_join(none).count() == 0
 
 
+def test_join_with_shared_boilerplate(spark, monkeypatch):
+    """Unlike texts that share a passage, and groups of near copies: buckets are split by size, and recall holds."""
+    import random
+
+    dice = random.Random(12)
+    words = [f"w{i}" for i in range(3000)]
+    prose = lambda n: [dice.choice(words) for _ in range(n)]
+    shared, texts = prose(60), []
+    for i in range(260):
+        texts.append(shared + prose(dice.randint(60, 120)))
+    for _ in range(12):
+        base = prose(150)
+        for _ in range(dice.randint(2, 25)):
+            copy = list(base)
+            for _ in range(dice.randint(0, 6)):
+                copy[dice.randrange(len(copy))] = dice.choice(words)
+            texts.append(copy)
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    want = {i: sum(i != j and len(x & y) >= 0.8 * len(x | y) - 1e-9 for j, y in enumerate(sets)) for i, x in enumerate(sets)}
+    df = spark.createDataFrame([(f"x{i:04d}", " ".join(t)) for i, t in enumerate(texts)], "doc_id string, text string").repartition(3)
+    for group, size in ((512, 400_000), (8, 2000)):
+        monkeypatch.setattr(near, "GROUP", group)
+        monkeypatch.setattr(near, "SHINGLES", size)
+        got = table(near.jaccard_join(df))
+        assert sum(got[f"x{i:04d}"].n_links for i in want) >= 0.99 * sum(want.values()) and all(got[f"x{i:04d}"].n_links <= n for i, n in want.items())
+    assert near.deduplicate(df).count() >= 260 + 12
+
+
+def test_rows_with_one_key_and_other_texts(spark):
+    text, other = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    df = spark.createDataFrame([(1, text), (1, other), (2, text), (3, other), (3, other), (None, "x y z")], "doc_id long, text string")
+    left = near.deduplicate(df).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in left) == sorted([(0, "x y z"), (1, text), (1, other)])
+    assert sorted(r.n_links for r in near.jaccard_join(df).collect()) == [0, 1, 1, 2, 2, 2]
+
+
+def test_joins_that_shuffle_agree(spark, docs, none, monkeypatch):
+    """With nothing broadcast by size: the plans of large tables."""
+    import prospectra.llm.common as C
+
+    plain = lambda df: sorted(tuple(str(x) for x in r) for r in df.collect())
+    runs = {
+        "op2": lambda: plain(repeats.remove_repeats(docs)), "words": lambda: plain(repeats.remove_repeats(docs, length=50, gram=20, words=True)),
+        "op8": lambda: plain(near.jaccard_join(docs)), "dedup": lambda: plain(near.deduplicate(docs)),
+        "op7": lambda: sorted((r.doc_id, r.kept, round(r.llr_score, 5)) for r in rules.quality_rules(docs, docs.where("doc_id < 3")).collect()),
+        "op1": lambda: plain(mixing.mix(docs, {"s0": 3.0, "s1": 1.0}, 0.5)),
+    }
+    want = {k: f() for k, f in runs.items()}
+    for name, value in (("BROADCAST_ROWS", 0), ("HUB", 1)):
+        monkeypatch.setattr(C, name, value)
+    monkeypatch.setattr(rules, "KEYS", 0)
+    monkeypatch.setattr(mixing, "SOURCES", 0)
+    for k, f in runs.items():
+        assert f() == want[k], k
+
+
+def test_words_against_brute_force(docs, rows):
+    """Passages of 50 words or more that occur again."""
+    got = table(repeats.remove_repeats(docs, length=50, gram=20, words=True))
+    found = {r[0]: list(re.finditer(rb"[^\x20\x09-\x0D]+", (r[1] or "").encode())) for r in rows}
+    word = {k: [m.group() for m in ms] for k, ms in found.items()}
+    seen = collections.Counter(tuple(w[i : i + 50]) for w in word.values() for i in range(len(w) - 49))
+    for k, t, *_ in rows:
+        b = (t or "").encode()
+        mark = np.zeros(len(b), bool)
+        for i in range(len(word[k]) - 49):
+            if seen[tuple(word[k][i : i + 50])] > 1:
+                mark[found[k][i].start() : found[k][i + 49].end()] = True
+        assert (got[k].n_removed, got[k].kept_sha256) == (int(mark.sum()), hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~mark])).hexdigest())
+
+
+def test_clashing_columns_are_refused(spark):
+    df = spark.createDataFrame([(1, "a b", "s")], "doc_id long, text string, source string")
+    model = quality.train(df, spark.createDataFrame([], "doc_id long, quality int"))
+    for name, run in (("copy", lambda x: mixing.mix(x, {"s": 1.0})), ("n_bytes", repeats.remove_repeats), ("score", lambda x: quality.classify(x, model)), ("kept", lambda x: rules.quality_rules(x, x))):
+        with pytest.raises(ValueError, match=name):
+            run(df.withColumn(name, F.lit(1)))
+
+
 def test_blocks_of_a_large_group_agree(docs, monkeypatch):
     whole = sorted(map(tuple, near.jaccard_join(docs).collect()))
     monkeypatch.setattr(near, "GROUP", 1)
@@ -94,6 +174,58 @@ def test_buckets_grow_with_the_features(spark, docs, monkeypatch):
     assert both[0] == both[1] and len(array) == twice.count()
 
 
+def test_ratio_against_brute_force(spark, docs, rows):
+    """llr_score from plain counts over the same hashes."""
+    import xxhash
+
+    word = lambda w: xxhash.xxh64_intdigest(w.encode(), 42)
+    pair = lambda a, b: xxhash.xxh64_intdigest(b.to_bytes(8, "little"), xxhash.xxh64_intdigest(a.to_bytes(8, "little"), 42))
+    places = {}
+    for k, t, *_ in rows:
+        h = [word(w) for w in WORD.findall(t or "")]
+        places[k] = [x % rules.BUCKETS for x in h] + [pair(a, b) % rules.BUCKETS + rules.BUCKETS for a, b in zip(h, h[1:])]
+    raw, good = collections.Counter(x for p in places.values() for x in p), collections.Counter(x for k, p in places.items() if k < 3 for x in p)
+    share = good.total() / raw.total()
+    ratio = {b: np.log((good[b] + rules.SMOOTH) / (raw[b] * share + rules.SMOOTH)) for b in raw}
+    for r in rules.quality_rules(docs, docs.where("doc_id < 3")).collect():
+        p = places[r.doc_id]
+        assert abs(r.llr_score - (sum(ratio[b] for b in p) / len(p) if p else 0)) < 1e-5
+        assert r.kept == (not r.base_failed and r.llr_score >= rules.THRESHOLD)
+
+
+def test_very_long_text_has_exact_repeats(spark):
+    """Windows that share high bits of their hashes can't hide each other."""
+    import random
+
+    dice = random.Random(11)
+    w = [f"w{dice.randint(0, 400)}" for _ in range(60_000)]
+    windows = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    often, covered = collections.Counter(windows), set()
+    for i, x in enumerate(windows):
+        if often[x] > 1:
+            covered |= {i, i + 1, i + 2}
+    df = spark.createDataFrame([(1, " ".join(w))], "doc_id long, text string")
+    assert rules.quality_rules(df, df.limit(0)).first().n_repeat_words == len(covered)
+
+
+def test_quality_model_on_held_out_rows(spark):
+    """Accuracy on rows that the fit hasn't seen, and scores as plain sums of table entries."""
+    from bisect import bisect_right
+
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.train(docs, labels.where(queries.remainder() != 0))
+    got = quality.classify(docs, model).join(labels.where(queries.remainder() == 0).select("doc_id", "quality"), "doc_id")
+    right, n = got.agg(F.sum((F.col("predicted") == F.col("quality")).cast("int")), F.count("*")).first()
+    assert n > 50 and right >= 0.95 * n
+    for r in quality.featured(docs.limit(40)).collect():
+        x = [float(v) for v in r["__x"]]
+        s = model.base + sum(t[bisect_right(list(e), v)] for e, t, v in zip(model.edges, model.tables, x))
+        coarse = [bisect_right(list(e), v) for e, v in zip(model.pair_edges, x)]
+        s += sum(t[coarse[a] * (len(model.pair_edges[b]) + 1) + coarse[b]] for (a, b), t in zip(model.chosen, model.pair_tables))
+        assert abs(model.predict(np.array([x]))[0] - 1 / (1 + np.exp(-s))) < 1e-9
+
+
 def test_quality_learns(spark, docs, none):
     good = "Plain words that follow one another, as in prose. " * 5
     data = [(i, (good if i % 2 else good.upper().replace(" ", "!! ")) + " w" * (i % 7), i % 2) for i in range(400)]
@@ -223,6 +355,13 @@ def test_licences(docs, none):
     assert [(r.doc_id, r.licence, r.dice, r.n_matches) for r in got] == [(11, "mit", 1.0, 1)] and licences.licence_scan(none).count() == 0
 
 
+def test_licences_beside_other_words(spark):
+    wrapped = "// " + licences.TEMPLATES["mit-grant"].replace(" copy", "\n//   copy").replace("software and", "software\n// and")
+    texts = ["Foo is a tool for bars. Released under the MIT License.", f"/*\n{wrapped}\n more words\n*/\nint main() {{}}", "Released under no license at all, the MIT way", "Released under"]
+    got = licences.licence_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.licence, r.dice) for r in got) == [(0, "mit", 1.0), (1, "mit-grant", 1.0)]
+
+
 def test_licence_anchors():
     grams = [licences.plain_bigrams(v) for v in licences.TEMPLATES.values()]
     words = set(licences.anchors(grams, 0.8))
@@ -251,6 +390,58 @@ def test_pages(spark):
     assert got[0].n_chars == len(got[0].text) and pages.extract(df.where("false")).count() == 0
 
 
+def plain_extract(rows):
+    """The same pairing over a plain list: nearest pages in URL order within REACH places that are no copies."""
+    def split(u):
+        m = re.match(r"(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)([^?#]*)", u)
+        return (m[1].lower(), m[2]) if m else ("", re.match(r"[^?#]*", u)[0])
+    order = sorted(rows, key=lambda r: (*split(r[1]), r[0]))
+    all_lines = [pages.lines(r[2]) for r in order]
+    def same(a, b):
+        x, y = collections.Counter(t for t, _ in a), collections.Counter(t for t, _ in b)
+        return 1000 * (x & y).total() >= pages.SAME * max(len(a), len(b))
+    out = {}
+    for i, r in enumerate(order):
+        host, path = split(r[1])
+        near = []
+        for step in (-1, 1):
+            for j in range(i + step, i + step * (pages.REACH + 1), step):
+                if not 0 <= j < len(order) or split(order[j][1])[0] != host:
+                    break
+                if not same(all_lines[j], all_lines[i]):
+                    near.append(j)
+                    break
+        share = lambda j: len(os.path.commonprefix([split(order[j][1])[1], path]))  # noqa: E731, B023
+        best = max(map(share, near), default=0)
+        shared = set()
+        for j in near:
+            if share(j) == best:
+                shared |= pages.lcs([t for t, _ in all_lines[i]], [t for t, _ in all_lines[j]])[0]
+        out[r[0]] = "\n".join(t for k, (t, content) in enumerate(all_lines[i]) if content or k not in shared)
+    return out
+
+
+def test_pages_don_t_depend_on_partitions(spark, monkeypatch):
+    """Pages without article or main, against a plain list: the same for any partitioning, chunk and shuffle."""
+    import random
+
+    dice = random.Random(6)
+    rows = []
+    for i in range(300):
+        own = [f"Line {i} {k}" for k in range(dice.randint(1, 4))] if dice.random() < 0.8 else ["A copy", "of a page", "again"]
+        rows.append((i, f"http://h{i % 3 % 2}.org/{dice.choice('abc')}/{dice.randint(0, 99)}?x={i}", "".join(f"<div>{x}</div>" for x in ["Shared top", *own, f"Shared by {i % 2}"])))
+    want = plain_extract(rows)
+    assert sum("Shared top" not in t for t in want.values()) > 200
+    for chunk, parts, shuffles in ((512, 1, 1), (40, 7, 40), (33, 300, 300)):
+        monkeypatch.setattr(pages, "CHUNK", chunk)
+        spark.conf.set("spark.sql.shuffle.partitions", str(shuffles))
+        try:
+            got = pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)).collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+        assert {r.page_id: r.text for r in got} == want
+
+
 def test_copies_are_no_neighbours(spark):
     page = lambda *own: "<div>Shared line</div>" + "".join(f"<div>{x}</div>" for x in own)
     one, two = page("Own one", "More of one"), page("Own two", "More of two")
@@ -276,6 +467,20 @@ def test_lcs_against_dynamic_programme():
         assert len(ha) == best[-1][-1] and [a[i] for i in sorted(ha)] == [b[j] for j in sorted(hb)]
 
 
+def test_recall_with_more_lists_than_probes(spark, monkeypatch):
+    dice = np.random.default_rng(9)
+    base = dice.normal(size=(1200, 24))
+    x = np.concatenate([base, base + dice.normal(size=base.shape) * dice.uniform(0.05, 0.5, size=(len(base), 1))])
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    close = unit @ unit.T >= 0.9
+    np.fill_diagonal(close, False)
+    monkeypatch.setattr(vectors, "LIST_ROWS", 20)  # 120 lists
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = table(vectors.near_dedup(df), "vec_id")
+    links = np.array([got[i].n_links for i in range(len(x))])
+    assert close.sum() > 500 and (links <= close.sum(1)).all() and links.sum() >= 0.9 * close.sum()
+
+
 def test_vectors_against_brute_force(spark, monkeypatch):
     dice = np.random.default_rng(3)
     x = dice.normal(size=(300, 16))
