@@ -1,4 +1,4 @@
-"""Normal distribution as SQL expressions that Spark compiles: density, cumulative distribution, quantiles, and counter hashes."""
+"""Normal distribution as SQL expressions that Spark compiles: density, cumulative distribution, quantiles."""
 
 from __future__ import annotations
 

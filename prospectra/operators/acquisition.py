@@ -95,8 +95,14 @@ def choose_topk(rows: DataFrame, k: int, fraction: float, seed: int, direction:
     """A random draw of k from the best max(k, int(n * fraction))."""
     if not 0 < fraction <= 1:
         raise AcquisitionError("fraction must lie in (0, 1]")
-    n = rows.count()
-    short = choose(rows, greedy(direction), min(n, max(k, int(n * fraction))), key)
+    return draw(choose(rows, greedy(direction), shortlist_of(rows.count(), k, fraction), key), k, seed, key)
+
+
+def shortlist_of(n: int, k: int, k_fraction: float = 0.05) -> int:
+    return min(n, max(k, int(n * k_fraction)))
+
+
+def draw(short: DataFrame, k: int, seed: int, key: str = "id") -> DataFrame:
     return best(short.withColumn("__u", counter.uniform(seed, F.col(key))), "__u", k, key).drop("__u")
 
 
@@ -216,8 +222,17 @@ def anneal(rows: DataFrame, k: int, seed: int, steps: int = 500, first: float =
 class Acquisition:
     """A way to choose candidates: a score, whether it needs uncertainty, and whether it can be computed row by row."""
 
-    def __init__(self, name: str, choose: Callable[..., DataFrame], needs_uncertainty: bool = False, needs_best: bool = False, streamable: bool = True):
+    def __init__(self, name: str, choose: Callable[..., DataFrame], needs_uncertainty: bool = False, needs_best: bool = False, streamable: bool = True, shortlist: Callable[..., int] | None = None, finalize: Callable[..., DataFrame] | None = None):
         self.name, self.choose, self.needs_uncertainty, self.needs_best, self.streamable = name, choose, needs_uncertainty, needs_best, streamable
+        self._shortlist, self._finalize = shortlist, finalize
+
+    def shortlist_size(self, n: int, k: int, **settings: object) -> int:
+        """How many of n rows the first choice keeps for the last."""
+        return self._shortlist(n, k, **settings) if self._shortlist else min(n, k)
+
+    def finalize(self, shortlist: DataFrame, k: int, seed: int = 42, **settings: object) -> DataFrame:
+        """The k rows of a shortlist that has acquisition_score."""
+        return self._finalize(shortlist, k, seed) if self._finalize else best(shortlist, "acquisition_score", k)
 
     def select(self, rows: DataFrame, k: int, direction: str = "higher", seed: int = 42, best: float | None = None, **settings: object) -> DataFrame:
         """The k rows with acquisition_score; the guards come first."""
@@ -241,7 +256,7 @@ def _entropy(r: DataFrame, k: int, variance: bool = False, **_: object) -> DataF
 REGISTRY = {a.name: a for a in (
     Acquisition("greedy", lambda r, k, direction, **_: choose(r, greedy(direction), k)),
     Acquisition("random", lambda r, k, seed, **_: choose_random(r, k, seed)),
-    Acquisition("topk", lambda r, k, direction, seed, k_fraction=0.05, **_: choose_topk(r, k, k_fraction, seed, direction)),
+    Acquisition("topk", lambda r, k, direction, seed, k_fraction=0.05, **_: choose_topk(r, k, k_fraction, seed, direction), shortlist=shortlist_of, finalize=draw),
     Acquisition("ucb", lambda r, k, direction, beta=2.0, **_: choose(r, ucb(direction, beta), k), needs_uncertainty=True),
     Acquisition("ei", lambda r, k, direction, best, xi=0.01, **_: choose(r, F.expr(expected_improvement_sql(direction, best, xi)), k), True, True),
     Acquisition("pi", lambda r, k, direction, best, xi=0.01, **_: choose(r, F.expr(probability_of_improvement_sql(direction, best, xi)), k), True, True),

@@ -35,7 +35,6 @@ add("oracle_lookup", "SELECT r.o, r.id, c.target FROM (SELECT row_number() OVER
 add("oracle_reconcile", "SELECT id, CASE WHEN id IN (SELECT l_orderkey FROM lineitem) THEN 'known' ELSE 'unknown' END AS state FROM cand")(lambda s, p: (lambda c, k: c.join(k, "id", "left_semi").select("id", F.lit("known").alias("state")).unionByName(c.join(k, "id", "left_anti").select("id", F.lit("unknown").alias("state"))))(V.cand(s, p), V.table(s, p, "lineitem").select(F.col("l_orderkey").alias("id"))))
 add("validation_report", "SELECT c.id, coalesce(e.error, '') AS error FROM cand c LEFT JOIN (SELECT DISTINCT l_orderkey AS id, 'returned' AS error FROM lineitem WHERE l_returnflag = 'R') e ON c.id = e.id")(lambda s, p: V.cand(s, p).join(V.table(s, p, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("id"), F.lit("returned").alias("error")).distinct(), "id", "left").select("id", F.coalesce("error", F.lit("")).alias("error")))
 add("tidy_join", "SELECT r.run_id, cycle, family, design, round(metric, 6) AS metric FROM runs r LEFT JOIN manifest m ON r.run_id = m.run_id")(lambda s, p: V.runs(s, p).join(V.manifest(s, p), "run_id", "left").select("run_id", "cycle", "family", "design", F.round("metric", 6).alias("metric")))
-add("paired_deltas", "SELECT a.run_id, a.cycle, round(a.metric - b.metric, 6) AS delta FROM runs a JOIN runs b ON a.cycle = b.cycle AND b.run_id = 1")(lambda s, p: V.runs(s, p).join(V.runs(s, p).where("run_id = 1").select("cycle", F.col("metric").alias("base")), "cycle").select("run_id", "cycle", F.round(F.col("metric") - F.col("base"), 6).alias("delta")))
 add("cold_cache_flag", "SELECT a.run_id, a.cost > 1.1 * b.steady AS cold FROM (SELECT run_id, cost FROM runs WHERE cycle = 1) a JOIN (SELECT run_id, avg(cost) AS steady FROM runs WHERE cycle > 1 GROUP BY run_id) b ON a.run_id = b.run_id")(lambda s, p: V.runs(s, p).groupBy("run_id").agg(F.max(F.when(F.col("cycle") == 1, F.col("cost"))).alias("first"), F.avg(F.when(F.col("cycle") > 1, F.col("cost"))).alias("steady")).where("first IS NOT NULL AND steady IS NOT NULL").select("run_id", (F.col("first") > 1.1 * F.col("steady")).alias("cold")))
 add("prune_speedup", "SELECT a.run_id, round(b.cost / a.cost, 6) AS speedup FROM runs a LEFT JOIN runs b ON b.cycle = 1 AND b.run_id = a.run_id WHERE a.cycle = 2")(lambda s, p: V.runs(s, p).where("cycle = 2").join(V.runs(s, p).where("cycle = 1").select("run_id", F.col("cost").alias("base")), "run_id", "left").select("run_id", F.round(F.col("base") / F.col("cost"), 6).alias("speedup")))
 add("out_of_sample", "SELECT p.id, c.cycle FROM pred p JOIN master m ON p.id = m.id, (SELECT unnest([0, 1, 2]) AS cycle) c WHERE selected_cycle IS NULL OR selected_cycle >= c.cycle")(lambda s, p: V.pred(s, p).join(V.master(s, p).select("id", "selected_cycle"), "id").select("id", "selected_cycle", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("cycle")).where("selected_cycle IS NULL OR selected_cycle >= cycle").select("id", "cycle"))

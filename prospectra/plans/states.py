@@ -129,6 +129,20 @@ def collision_join(spark, d):
     return runs.join(manifest, "run_id", "left")
 
 
+@add("paired_deltas", "SELECT a.run_id, a.cycle, round(a.metric - b.metric, 6) AS delta FROM runs a JOIN runs b ON a.cycle = b.cycle AND b.run_id = 1")
+def paired_deltas(spark, d):
+    """Each run less the baseline run of the same cycle; the baseline has one row a cycle, so that no row is doubled."""
+    runs = V.runs(spark, d)
+    base = checks.unique(runs.where("run_id = 1").select("cycle", F.col("metric").alias("base")), "cycle")
+    return runs.join(base, "cycle").select("run_id", "cycle", F.round(F.col("metric") - F.col("base"), 6).alias("delta"))
+
+
+@add("cycle_seeds")
+def cycle_seeds(spark, d):
+    """A seed for each cycle of a run; numpy's, so that there is no SQL (tests/test_operators.py)."""
+    return spark.createDataFrame([(c, A.cycle_seed(42, c)) for c in range(10)], "cycle int, seed long")
+
+
 @add("run_row_sums", "SELECT run_id, cycle, round(metric + cost + n, 4) AS total FROM runs")
 def run_row_sums(spark, d):
     return V.runs(spark, d).select("run_id", "cycle", F.round(reduce(plus, (F.col(c).cast("double") for c in ("metric", "cost", "n"))), 4).alias("total"))

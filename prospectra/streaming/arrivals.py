@@ -1,4 +1,4 @@
-"""Structured Streaming over arriving rows: windowed sums with a watermark, and labels that arrive after selection."""
+"""Structured Streaming over arriving rows: windowed sums with a watermark, each key once."""
 
 from __future__ import annotations
 

@@ -166,6 +166,10 @@ def test_registry_and_guards(spark):
         with pytest.raises(LearnerError):
             checks.predictions(rows.withColumn(c, F.lit(value).cast("double")))
     assert checks.predictions(rows).count() == 20
+    topk = acquisition.acquisition("topk")
+    assert topk.shortlist_size(1000, 10) == 50 and acquisition.acquisition("ucb").shortlist_size(1000, 10) == 10
+    short = acquisition.choose(rows, acquisition.greedy(), topk.shortlist_size(20, 2, k_fraction=0.5))
+    assert sorted(ids(topk.finalize(short, 2, 7))) == sorted(ids(topk.select(rows, 2, seed=7, k_fraction=0.5)))
     assert acquisition.batch_size(1000, 0.0101, 5000) == 11 and acquisition.batch_size(10, 0.01, 0) == 0
     assert acquisition.cycle_seed(42, 1) != acquisition.cycle_seed(42, 2)
 
