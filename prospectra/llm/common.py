@@ -8,12 +8,14 @@ import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that a table may have at most to be sent to every executor (ids and a few numbers a row).
-BROADCAST_ROWS = 50_000
+BROADCAST_ROWS = 5_000
 SPACE = " \t\n\x0b\x0c\r"
 
 
@@ -87,6 +89,22 @@ def written(df: DataFrame, what: str, batch: int | None = None, rows: int | None
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function of a task's batches that gives freed memory back to the system at its end: Python workers wait for the next task."""
+
+    def task(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return task
+
+
 def refuse(docs: DataFrame, *names: str) -> None:
     """Stops if the input has columns of these names: the result has its own."""
     if clash := set(names) & set(docs.columns):

@@ -141,7 +141,7 @@ def signatures(keyed: DataFrame, runs: int) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"k": batch.column("k"), "th": batch.column("th"), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(n, pa.int64()), "sk": pa.array(sk, pa.binary()), "nodes": pa.array(nodes, pa.list_(pa.int64()))})
 
     kind = dict(keyed.dtypes)["k"]
-    return keyed.select("k", "th", word_hashes("t").alias("h")).mapInArrow(run, f"k {kind}, th long, a long, b long, n long, sk binary, nodes array<long>")
+    return keyed.select("k", "th", word_hashes("t").alias("h")).mapInArrow(C.lean(run), f"k {kind}, th long, a long, b long, n long, sk binary, nodes array<long>")
 
 
 def descend(keyed: DataFrame, active: DataFrame, reps: DataFrame) -> DataFrame:
@@ -159,7 +159,7 @@ def descend(keyed: DataFrame, active: DataFrame, reps: DataFrame) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out, strict=True)], names=["c", "n", "parent", "node"])
 
-    return rows.mapInArrow(run, "c long, n long, parent long, node long")
+    return rows.mapInArrow(C.lean(run), "c long, n long, parent long, node long")
 
 
 def sizes_of(rows: DataFrame) -> DataFrame:
@@ -341,13 +341,13 @@ def found_links(keyed: DataFrame, classes: DataFrame, threshold: float) -> DataF
     rows = mates.join(near.join(classes.select("c", "sk"), "c"), "c").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("node", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "c", "n", "block", "near", "sk")
     kind = "node long, p int, q int, c long, n long, block int, near array<long>, sk binary"
-    some = rows.repartition("node", "p", "q").sortWithinPartitions("node", "p", "q").mapInPandas(lambda b: whole_groups(b, lambda x: needed(x, threshold)), kind)
+    some = rows.repartition("node", "p", "q").sortWithinPartitions("node", "p", "q").mapInPandas(C.lean(lambda b: whole_groups(b, lambda x: needed(x, threshold))), kind)
     some = C.written(some.join(classes.select("c", "w", "rep.k", "rep.th"), "c"), "compared")
     texts = keyed.join(C.small(some), ["k", "th"]).select(*some.columns, word_hashes("t").alias("h"))
     at = F.explode(F.sequence(F.lit(0), F.greatest(F.size("h") - 1, F.lit(0)), F.lit(PIECE)))
     texts = texts.drop("k", "th").withColumn("piece", at).withColumn("h", F.expr(f"slice(h, piece + 1, {PIECE + WORDS - 1})")).where(f"piece = 0 OR size(h) >= {WORDS}")
     links = texts.repartition("node", "p", "q").sortWithinPartitions("node", "p", "q").mapInPandas(
-        lambda b: whole_groups(b, lambda x: pd.concat([compare(x.iloc[i:j], threshold) for i, j in cuts(x)])), "a long, b long, n long"
+        C.lean(lambda b: whole_groups(b, lambda x: pd.concat([compare(x.iloc[i:j], threshold) for i, j in cuts(x)]))), "a long, b long, n long"
     )
     return C.written(links, "links", BATCH)
 

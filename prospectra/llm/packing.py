@@ -207,5 +207,5 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id
         yield table()
 
     got = docs.selectExpr(f"`{key}` k", f"`{text}` t")
-    out = got.mapInPandas(run, f"k {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    out = got.mapInPandas(C.lean(run), f"k {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return out.withColumnRenamed("k", key)

@@ -126,7 +126,7 @@ def runs(docs: DataFrame, length: int, gram: int, words: bool) -> DataFrame:
                     key, stretch, r, *numbers = map(np.concatenate, zip(*out, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(stretch.view(np.int64)), pa.array(r, pa.int64()), *(pa.array(x.astype(np.int32)) for x in numbers)], names=["key", "stretch", "r", "lo", "hi", "s", "e"])
 
-    return docs.select("r", F.col("t").cast("binary").alias("t")).mapInArrow(scan, schema)
+    return docs.select("r", F.col("t").cast("binary").alias("t")).mapInArrow(C.lean(scan), schema)
 
 
 def windows(group: pd.DataFrame, length: int, words: bool) -> tuple[Rolling, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -220,10 +220,10 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, words: boo
                 h = roll.some(place, place + length).view(np.int64)
                 yield pd.DataFrame({"key": batch["key"].to_numpy()[row], "h": h, "n": batch["n"].to_numpy()[row], "r": batch["r"].to_numpy()[row], "s": s.astype(np.int32), "e": e.astype(np.int32)})
 
-    usual = text.where(f"m <= {HOT}").repartition("key").sortWithinPartitions("key").mapInPandas(within, "r long, s int, e int")
+    usual = text.where(f"m <= {HOT}").repartition("key").sortWithinPartitions("key").mapInPandas(C.lean(within), "r long, s int, e int")
     out = out.unionByName(usual)
     if groups.where(f"m > {HOT}").limit(1).count():
-        many = C.written(text.where(f"m > {HOT}").mapInPandas(single, "key long, h long, n long, r long, s int, e int"), "hot")
+        many = C.written(text.where(f"m > {HOT}").mapInPandas(C.lean(single), "key long, h long, n long, r long, s int, e int"), "hot")
         again = many.groupBy("key", "h").agg(F.count("*").alias("c")).where("c > 1").select("key", "h")
         hot = many.where("n = 1").join(C.small(again), ["key", "h"], "left_semi")
         out = out.unionByName(hot.select("r", "s", "e"))
@@ -266,6 +266,6 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
 
     kinds = dict(whole.dtypes)
     schema = ", ".join([*(f"c{i} {kinds[f'c{i}']}" for i in range(len(names))), "t string, n_bytes long, n_removed long, n_spans long, kept_sha256 string"])
-    out = joined.select(*(f"c{i}" for i in range(len(names))), "t", "spans").mapInArrow(cut, schema)
+    out = joined.select(*(f"c{i}" for i in range(len(names))), "t", "spans").mapInArrow(C.lean(cut), schema)
     back = [F.col("t").alias(text) if c == text else F.col(f"c{names.index(c)}").alias(c) for c in docs.columns]
     return out.select(*back, *RESULTS)

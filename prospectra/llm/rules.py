@@ -46,25 +46,42 @@ def after(array: str, n: int) -> Column:
     return F.slice(array, n + 1, F.greatest(F.size(array), F.lit(1)))
 
 
+def after_of(array: Column) -> Column:
+    return F.slice(array, 2, F.greatest(F.size(array), F.lit(1)))
+
+
+#: Bits of the place of a window in a text, beside the rest of its hash, while windows are sorted.
+PLACE = 26
+
+
 def hashed(docs: DataFrame, text: Column) -> DataFrame:
-    """Adds __split (the text split at each white space), __h (hashes of its words) and __p (of pairs of neighbours).
+    """Adds __split (the text split at each white space), __h (even hashes of its words) and __p (odd ones of pairs of neighbours).
 
     Each array is a column of its own: inside a lambda Spark would compute it again for each element.
     """
     out = docs.withColumn("__split", C.spaced(text))
-    out = out.withColumn("__h", F.transform(F.array_remove("__split", ""), lambda x: F.xxhash64(x)))
-    return out.withColumn("__p", F.slice(F.zip_with("__h", after("__h", 1), lambda a, b: F.xxhash64(a, b)), 1, F.greatest(F.size("__h") - 1, F.lit(0))))
+    out = out.withColumn("__h", F.transform(F.array_remove("__split", ""), lambda x: F.xxhash64(x).bitwiseAND(F.lit(-2))))
+    pairs = F.zip_with("__h", after("__h", 1), lambda a, b: F.xxhash64(a, b).bitwiseOR(F.lit(1)))
+    return out.withColumn("__p", F.slice(pairs, 1, F.greatest(F.size("__h") - 1, F.lit(0))))
 
 
 def repeat_words(docs: DataFrame, to: str) -> DataFrame:
     """Adds the number of words that lie in a three-word window found twice or more in the text, the first one included; needs hashed()."""
     n = F.greatest(F.size("__h") - 2, F.lit(0))
     out = docs.withColumn("__win", F.slice(F.zip_with("__p", after("__h", 2), lambda p, c: F.xxhash64(p, c)), 1, n))
-    # Sorted by hash, then place: equal windows are neighbours.
-    placed = F.transform("__win", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
-    out = out.withColumn("__sort", F.when(F.size(F.array_distinct("__win")) < F.size("__win"), F.sort_array(placed)))
-    pair = F.zip_with("__sort", after("__sort", 1), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
-    at = F.sort_array(F.array_distinct(F.flatten(F.filter(pair, lambda x: x.isNotNull()))))
+    # Sorted by the high bits of the hash, then place, in one number; equal windows are neighbours then.
+    places = F.lit((1 << PLACE) - 1)
+    packed = F.transform("__win", lambda h, i: h.bitwiseAND(F.bitwise_not(places)).bitwiseOR(i))
+    out = out.withColumn("__sort", F.when(F.size(F.array_distinct("__win")) < F.size("__win"), F.sort_array(packed)))
+    full = lambda x: F.get("__win", x.bitwiseAND(places).cast("int"))
+    place = lambda x: x.bitwiseAND(places).cast("int")
+    pair = F.zip_with("__sort", after("__sort", 1), lambda a, b: F.when(full(a) == full(b), F.array(place(a), place(b))))
+    # Two windows that share the high bits only may stand between equal ones: such texts are sorted by the whole hash.
+    mixed = F.exists(F.zip_with("__sort", after("__sort", 1), lambda a, b: b.isNotNull() & (a.bitwiseXOR(b).bitwiseAND(F.bitwise_not(places)) == 0) & (full(a) != full(b))), lambda x: x)
+    mixed = F.coalesce(mixed, F.lit(False)) | (F.size("__win") >= 1 << PLACE)
+    whole = F.sort_array(F.transform("__win", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    slow = F.zip_with(whole, after_of(whole), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
+    at = F.sort_array(F.array_distinct(F.flatten(F.filter(F.when(mixed, slow).otherwise(pair), lambda x: x.isNotNull()))))
     start = F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n"))
     total = F.aggregate(at, start, lambda s, p: F.struct(p.alias("last"), (s["n"] + F.least(F.lit(3), p - s["last"])).alias("n")), lambda s: s["n"])
     return out.withColumn(to, F.coalesce(total, F.lit(0)).cast("long") + stay()).drop("__win", "__sort")
@@ -86,21 +103,23 @@ def base_rules(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFra
 
 
 def bucket(h: Column, buckets: int) -> Column:
-    """The low bits of a hash; buckets must be a power of two."""
+    """The low bits of a feature's hash: even buckets are those of words, odd ones those of pairs. buckets, of each kind, must be a power of two."""
     if buckets & (buckets - 1):
         raise ValueError("buckets must be a power of two")
-    return h.bitwiseAND(F.lit(buckets - 1)).cast("int")
+    return h.bitwiseAND(F.lit(2 * buckets - 1)).cast("int")
 
 
-def both(buckets: int) -> Column:
-    """The buckets of a text's features: of its words from 0, of its pairs from `buckets`; needs hashed()."""
-    return F.concat(F.transform("__h", lambda h: bucket(h, buckets)), F.transform("__p", lambda h: bucket(h, buckets) + buckets))
+#: One in so many hashes is counted to tell how many words there are.
+SHARE = 64
 
 
 def fitting(docs: DataFrame, text: str = "text") -> int:
-    """The least power of two, BUCKETS or more, that leaves a bucket FILL distinct words or fewer (by a count that errs by about 2 %)."""
-    words = docs.select(F.explode(C.spaced(C.clean(text))).alias("w"))
-    n = words.agg(F.approx_count_distinct("w", 0.02)).first()[0]
+    """The least power of two, BUCKETS or more, that leaves a bucket FILL distinct words or fewer.
+
+    Distinct words are counted among those of a part of the hashes, over all texts (by a count that errs by about 2 %).
+    """
+    some = hashed(docs.select(C.clean(text).alias("__t")), F.col("__t")).select(F.explode(F.filter("__h", lambda h: h.bitwiseAND(F.lit(2 * SHARE - 1)) == 0)).alias("h"))
+    n = SHARE * some.agg(F.approx_count_distinct("h", 0.02)).first()[0]
     out = BUCKETS
     while out * FILL < n:
         out *= 2
@@ -111,8 +130,8 @@ def ratios(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "
     """(b, ratio): for each bucket with features log(p(bucket | trusted) / p(bucket | all)), from counts over all rows."""
     ids = trusted.select(F.col(key).alias("__key")).where("__key is not null").distinct()
     flagged = docs.select(F.col(key).alias("__key"), C.clean(text).alias("__t")).join(C.small(ids.withColumn("__good", F.lit(1)), KEYS), "__key", "left")
-    grams = hashed(flagged, F.col("__t")).select("__good", F.explode(both(buckets)).alias("b"))
-    counts = C.written(grams.groupBy("b").agg(F.count("*").alias("raw"), F.count("__good").alias("good")), "buckets", rows=2 * buckets)
+    grams = hashed(flagged, F.col("__t")).select("__good", F.explode(F.concat("__h", "__p")).alias("h"))
+    counts = C.written(grams.groupBy(bucket(F.col("h"), buckets).alias("b")).agg(F.count("*").alias("raw"), F.count("__good").alias("good")), "buckets", rows=2 * buckets)
     raw, good = counts.agg(F.sum("raw"), F.sum("good")).first()
     # Both counts are drawn towards the share of trusted words by the same pseudo-count, so that what is rare says little.
     log = F.log((F.col("good") + SMOOTH) / (F.col("raw") * ((good or 0) / (raw or 1)) + SMOOTH))
@@ -126,16 +145,16 @@ def with_array(out: DataFrame, table: DataFrame, buckets: int) -> DataFrame:
     every[got["b"].to_numpy()] = got["ratio"].to_numpy()
     lists = pa.ListArray.from_arrays(pa.array([0, 2 * buckets], pa.int32()), pa.array(every))
     # One use of the subquery only: the optimizer then moves it into the lambda, and the array is in no row.
-    out = out.withColumn("__all", both(buckets))
+    out = out.withColumn("__all", F.concat("__h", "__p"))
     out = out.withColumn("__table", out.sparkSession.createDataFrame(pa.table({"ratio": lists})).coalesce(1).scalar())
-    total = F.aggregate("__all", F.lit(0.0), lambda s, b: s + F.get("__table", b))
+    total = F.aggregate("__all", F.lit(0.0), lambda s, h: s + F.get("__table", bucket(h, buckets)))
     return out.withColumn("llr_score", total / F.greatest(F.size("__all"), F.lit(1)) + stay()).drop("__all", "__table")
 
 
 def with_join(out: DataFrame, table: DataFrame, text: str, buckets: int) -> DataFrame:
     """The same by joins, for any number of buckets; rows are written first, so that their numbers hold."""
     out = C.written(out.drop("__split", "__h", "__p").withColumn("__row", F.monotonically_increasing_id()), "rows")
-    each = hashed(out.select("__row", C.clean(text).alias("__t")), F.col("__t")).select("__row", F.explode(both(buckets)).alias("b"))
+    each = hashed(out.select("__row", C.clean(text).alias("__t")), F.col("__t")).select("__row", F.explode(F.concat("__h", "__p")).alias("h")).select("__row", bucket(F.col("h"), buckets).alias("b"))
     each = each.groupBy("__row", "b").agg(F.count("*").alias("n")).join(table, "b")
     means = each.groupBy("__row").agg((F.sum(F.col("n") * F.col("ratio")) / F.sum("n")).alias("llr_score"))
     return out.join(means, "__row", "left").withColumn("llr_score", F.coalesce("llr_score", F.lit(0.0))).drop("__row")
