@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add as plus
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -143,11 +140,6 @@ def cycle_seeds(spark, d):
     return spark.createDataFrame([(c, A.cycle_seed(42, c)) for c in range(10)], "cycle int, seed long")
 
 
-@add("run_row_sums", "SELECT run_id, cycle, round(metric + cost + n, 4) AS total FROM runs")
-def run_row_sums(spark, d):
-    return V.runs(spark, d).select("run_id", "cycle", F.round(reduce(plus, (F.col(c).cast("double") for c in ("metric", "cost", "n"))), 4).alias("total"))
-
-
 SCHEDULES = "(SELECT r_regionkey, 'random:0.0' || (r_regionkey + 1) || ' greedy:0.01*' || (r_regionkey + 2) || '  ucb:0.5' AS t FROM region)"
 
 
