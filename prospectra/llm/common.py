@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import atexit
-import os
 import re
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..ship import ship  # noqa: F401
+
 #: Rows that a table may have at most to be sent to every executor (ids and a few numbers a row).
 BROADCAST_ROWS = 5_000
 SPACE = " \t\n\x0b\x0c\r"
@@ -23,25 +23,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Lets executors' Python workers import this package, wherever the driver has it from; once for each application."""
-    sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="prospectra-"), "prospectra.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for folder, _, names in os.walk(top):
-            for name in names:
-                if name.endswith(".py"):
-                    z.write(full := os.path.join(folder, name), os.path.relpath(full, os.path.dirname(top)))
-    sc.addPyFile(path)
-    _SHIPPED.add(sc.applicationId)
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Unset, it becomes a temporary folder where all run in one process, and an error on a cluster."""
     got = spark.conf.get("spark.checkpoint.dir", None)
@@ -65,7 +46,7 @@ BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 #: Rows of a file of a small table.
-FILE_ROWS = 25_000
+FILE_ROWS = 50_000
 
 
 def written(df: DataFrame, what: str, batch: int | None = None, rows: int | None = None) -> DataFrame:

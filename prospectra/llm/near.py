@@ -356,7 +356,7 @@ def joined(docs: DataFrame, text: str, key: str, threshold: float, runs: int) ->
     """k, th, class_id, n_links, component_id, kept for every row of docs."""
     C.ship(docs.sparkSession)
     keyed = docs.select(key_of(docs, text, key).alias("k"), F.xxhash64(C.clean(docs[text])).alias("th"), C.clean(docs[text]).alias("t"))
-    signed = C.written(signatures(keyed, runs), "signatures", BATCH)
+    signed = C.written(signatures(keyed, runs), "signatures", BATCH, rows=2 * docs.count())
     classes = signed.where("n > 0").groupBy("a", "b", "n").agg(F.min(F.struct("k", "th")).alias("rep"), F.count("*").alias("w"), F.first("sk").alias("sk"), F.first("nodes").alias("nodes"))
     classes = C.written(classes.withColumn("c", F.monotonically_increasing_id()), "classes", rows=signed.count())  # written, so that c stays
     links = found_links(keyed, classes, threshold)

@@ -176,7 +176,7 @@ def spans(group: pd.DataFrame, row: np.ndarray, hit: np.ndarray, s: np.ndarray,
 def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, words: bool = False) -> DataFrame:
     """r, s, e: spans of bytes that windows cover which start anywhere else too; docs: r, t."""
     C.ship(docs.sparkSession)
-    every = C.written(runs(docs, length, gram, words), "runs")
+    every = C.written(runs(docs, length, gram, words), "runs", rows=2 * docs.count())
     few = every.count() // 4  # rows of the tables to come, about
     keys = every.groupBy("key").agg(F.count("*").alias("n"), F.min("stretch").alias("a"), F.max("stretch").alias("b")).where("n > 1")
     keys = C.written(keys.select("key", (F.col("a") == F.col("b")).alias("alike")), "grams", rows=few // 4)

@@ -129,7 +129,7 @@ def near_dedup(rows: DataFrame, vector: str = "embedding", key: str = "vec_id",
             yield pd.DataFrame({"k": batch["k"], "x": out})
 
     scaled = rows.select(F.coalesce(F.col(key).cast("long"), F.xxhash64(vector)).alias("k"), F.col(vector).alias("v")).mapInPandas(C.lean(unit), "k long, x binary")
-    scaled = C.written(scaled.withColumn("c", F.when(F.col("x").isNotNull(), F.md5("x"))), "unit")
+    scaled = C.written(scaled.withColumn("c", F.when(F.col("x").isNotNull(), F.md5("x"))), "unit", rows=rows.count())
     one = scaled.where("x is not null").groupBy("c").agg(F.min("k").alias("id"), F.count("*").alias("w"), F.first("x").alias("x"))
     one = C.written(one, "vector", rows=scaled.count())
     n = one.count()
@@ -149,7 +149,7 @@ def near_dedup(rows: DataFrame, vector: str = "embedding", key: str = "vec_id",
             yield batch.assign(near=list(near))
 
     placed = one.where(F.length("x") == dim * 8).select("id", "w", "x").mapInPandas(C.lean(assign), "id long, w long, x binary, near array<int>")
-    placed = C.written(placed, "placed")
+    placed = C.written(placed, "placed", rows=n)
     sizes = placed.select(F.explode("near").alias("l"), (F.col("near")[0] == F.col("l")).cast("int").alias("home")).groupBy("l").agg(F.sum("home").alias("r"), F.count("*").alias("v")).collect()  # a row a list
     blocks = {r["l"]: (max(1, -(-r["r"] // BLOCK)), max(1, -(-r["v"] // BLOCK))) for r in sizes}
     rb = F.create_map(*[F.lit(x) for l, (r, _) in blocks.items() if r > 1 for x in (l, r)]) if any(r > 1 for r, _ in blocks.values()) else None
