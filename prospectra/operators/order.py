@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of a range, about; ranges at most (beyond, ranges grow); sampled rows a range.
-RANGE_ROWS, RANGES, SAMPLED = 50_000, 8192, 24
+RANGE_ROWS, RANGES, SAMPLED = 250_000, 8192, 24
 #: Rows up to which the best k are kept in each task; more are cut off by rank.
 TOP = 100_000
 
