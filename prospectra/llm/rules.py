@@ -24,7 +24,7 @@ from . import common as C
 
 #: Least number of buckets of words, and distinct words that a bucket has at most, on average. Pairs have as many buckets.
 BUCKETS = 1 << 16
-FILL = 32
+FILL = 64
 #: Buckets up to which their ratios are an array that goes with each task; beyond, features are joined with them.
 ARRAY = 1 << 21
 THRESHOLD = -0.2
@@ -75,16 +75,17 @@ def repeat_words(docs: DataFrame, to: str) -> DataFrame:
     out = out.withColumn("__sort", F.when(F.size(F.array_distinct("__win")) < F.size("__win"), F.sort_array(packed)))
     full = lambda x: F.get("__win", x.bitwiseAND(places).cast("int"))
     place = lambda x: x.bitwiseAND(places).cast("int")
-    pair = F.zip_with("__sort", after("__sort", 1), lambda a, b: F.when(full(a) == full(b), F.array(place(a), place(b))))
-    # Two windows that share the high bits only may stand between equal ones: such texts are sorted by the whole hash.
-    mixed = F.exists(F.zip_with("__sort", after("__sort", 1), lambda a, b: b.isNotNull() & (a.bitwiseXOR(b).bitwiseAND(F.bitwise_not(places)) == 0) & (full(a) != full(b))), lambda x: x)
-    mixed = F.coalesce(mixed, F.lit(False)) | (F.size("__win") >= 1 << PLACE)
+    # Two windows that share the high bits only may stand between equal ones (-1): such texts are sorted by the whole hash.
+    high = lambda a, b: a.bitwiseXOR(b).bitwiseAND(F.bitwise_not(places)) == 0
+    pair = F.zip_with("__sort", after("__sort", 1), lambda a, b: F.when(full(a) == full(b), F.array(place(a), place(b))).when(high(a, b), F.array(F.lit(-1))))
+    inside = lambda pairs: F.sort_array(F.array_distinct(F.flatten(F.filter(pairs, lambda x: x.isNotNull()))))
+    out = out.withColumn("__at", inside(pair))
     whole = F.sort_array(F.transform("__win", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     slow = F.zip_with(whole, after_of(whole), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
-    at = F.sort_array(F.array_distinct(F.flatten(F.filter(F.when(mixed, slow).otherwise(pair), lambda x: x.isNotNull()))))
+    at = F.when((F.get("__at", 0) < 0) | (F.size("__win") >= 1 << PLACE), inside(slow)).otherwise(F.col("__at"))
     start = F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n"))
     total = F.aggregate(at, start, lambda s, p: F.struct(p.alias("last"), (s["n"] + F.least(F.lit(3), p - s["last"])).alias("n")), lambda s: s["n"])
-    return out.withColumn(to, F.coalesce(total, F.lit(0)).cast("long") + stay()).drop("__win", "__sort")
+    return out.withColumn(to, F.coalesce(total, F.lit(0)).cast("long") + stay()).drop("__win", "__sort", "__at")
 
 
 def base_rules(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
