@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 RANGE_ROWS, RANGES, SAMPLED = 250_000, 8192, 24
 #: Rows up to which the best k are kept in each task; more are cut off by rank.
 TOP = 100_000
+#: Groups whose bounds are sent to every executor.
+FEW = 10_000
 
 
 def _cuts(rows: DataFrame, n: int) -> DataFrame | None:
@@ -136,7 +138,8 @@ def group_medians(df: DataFrame, group: str, value: str, key: str, name: str = "
     """group and the median of value in it, by exact ranks in the order (group, value); no group is gathered."""
     rows = ranked(df.where(F.col(value).isNotNull()), F.struct(group, value), key, ties=False)
     starts = rows.groupBy(group).agg(F.min("position").alias("__first"), F.count("*").alias("__n"))
-    # The middle rows are two a group; the groups' bounds come back by a join on the group.
+    # The middle rows are two a group; the groups' bounds come back by a join on the group, which few groups don't shuffle for.
+    starts = F.broadcast(starts) if starts.limit(FEW + 1).count() <= FEW else starts
     at = F.col("position") - F.col("__first")
     middle = rows.join(starts, group).where((at == F.floor((F.col("__n") - 1) / 2)) | (at == F.floor(F.col("__n") / 2)))
     return middle.groupBy(group).agg(F.avg(value).alias(name))
