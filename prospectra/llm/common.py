@@ -128,6 +128,15 @@ def with_least(edges: DataFrame, low: DataFrame, n: int) -> DataFrame:
     return rest.select("u", "v", "m").unionByName(marked.where("hub is not null").select("u", "v", F.col("hub").alias("m")))
 
 
+def spread(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, n: int) -> DataFrame:
+    """rows joined with a table that has their keys once each and, in weight, how many of the n rows have the key. Keys of many
+    rows, at most HUBS, are sent to every executor, so that their rows meet in no task."""
+    top = max(HUB, n // HUBS)
+    hot = table.where(F.col(weight) > top)
+    usual = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(table.where(F.col(weight) <= top), keys)
+    return usual.unionByName(rows.join(F.broadcast(hot), keys))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -> DataFrame:
     """(id, component): for each id of an edge, the smallest id that links reach.
 

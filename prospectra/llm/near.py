@@ -358,16 +358,21 @@ def joined(docs: DataFrame, text: str, key: str, threshold: float, runs: int) ->
     keyed = docs.select(key_of(docs, text, key).alias("k"), F.xxhash64(C.clean(docs[text])).alias("th"), C.clean(docs[text]).alias("t"))
     signed = C.written(signatures(keyed, runs), "signatures", BATCH, rows=2 * docs.count())
     classes = signed.where("n > 0").groupBy("a", "b", "n").agg(F.min(F.struct("k", "th")).alias("rep"), F.count("*").alias("w"), F.first("sk").alias("sk"), F.first("nodes").alias("nodes"))
-    classes = C.written(classes.withColumn("c", F.monotonically_increasing_id()), "classes", rows=signed.count())  # written, so that c stays
+    total = signed.count()
+    classes = C.written(classes.withColumn("c", F.monotonically_increasing_id()), "classes", rows=total)  # written, so that c stays
     links = found_links(keyed, classes, threshold)
     count = links.where("n > 0").groupBy(F.col("a").alias("c")).agg(F.sum("n").alias("links"))
     groups = C.components(links.where("n = 0")).select(F.col("id").alias("c"), "component")
-    known = classes.select("a", "b", "n", "c", "rep", "w").join(count, "c", "left").join(groups, "c", "left")
-    firsts = known.where("component is not null").groupBy("component").agg(F.min("rep").alias("top"))
-    known = known.join(firsts, "component", "left").select("a", "b", "n", F.col("rep.k").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("links"), F.coalesce("top", "rep").alias("top"))
-    out = signed.select("k", "th", "a", "b", "n").join(known, ["a", "b", "n"], "left")
+    firsts = groups.join(classes.select("c", "rep"), "c").groupBy("component").agg(F.min("rep").alias("top"))
+    tops = groups.join(C.small(firsts), "component").select("c", "top")
+    known = classes.select("a", "b", "n", "c", "rep", "w").join(count, "c", "left").join(tops, "c", "left")
+    known = known.select("a", "b", "n", "w", F.col("rep.k").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("links"), F.coalesce("top", "rep").alias("top"))
     own = F.struct("k", "th")
-    return out.select("k", "th", F.coalesce("class_id", "k").alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"), F.coalesce("top.k", "k").alias("component_id"), F.coalesce(F.col("top") == own, F.lit(True)).alias("kept"))
+    # Texts without shingles are classes of their own and take no part in the join: they would all have the same key.
+    some = C.spread(signed.where("n > 0").select("k", "th", "a", "b", "n"), C.written(known, "known", rows=total), ["a", "b", "n"], "w", total)
+    some = some.select("k", "th", "class_id", F.col("links").alias("n_links"), F.col("top.k").alias("component_id"), (F.col("top") == own).alias("kept"))
+    blank = signed.where("n = 0").select("k", "th", F.col("k").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("k").alias("component_id"), F.lit(True).alias("kept"))
+    return some.unionByName(blank)
 
 
 def jaccard_join(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD, runs: int = RUNS) -> DataFrame:
