@@ -93,9 +93,10 @@ def refuse(docs: DataFrame, *names: str) -> None:
 
 
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """Marks a table for broadcast if a count shows that it has no more than so many rows (BROADCAST_ROWS); else joins shuffle."""
+    """Marks a table for broadcast if a count shows that it has no more than so many rows (BROADCAST_ROWS); else for a join
+    that shuffles, whatever its bytes: so that plans, and what they cost, don't change with the size of the input."""
     most = BROADCAST_ROWS if rows is None else rows
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df.hint("merge")
 
 
 def clean(text: str | Column = "text") -> Column:
@@ -133,7 +134,7 @@ def spread(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, n: i
     rows, at most HUBS, are sent to every executor, so that their rows meet in no task."""
     top = max(HUB, n // HUBS)
     hot = table.where(F.col(weight) > top)
-    usual = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(table.where(F.col(weight) <= top), keys)
+    usual = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(table.where(F.col(weight) <= top).hint("merge"), keys)
     return usual.unionByName(rows.join(F.broadcast(hot), keys))
 
 
