@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..ship import ship  # noqa: F401
 
 #: Rows that a table may have at most to be sent to every executor (ids and a few numbers a row).
-BROADCAST_ROWS = 5_000
+BROADCAST_ROWS = 2_000
 SPACE = " \t\n\x0b\x0c\r"
 
 
