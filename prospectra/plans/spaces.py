@@ -115,7 +115,8 @@ def lingo(spark, d):
 
 @add("lingo_counts", f"SELECT id, p::INT AS place, count(*) AS n FROM (SELECT id, {PLACE.format(256)} AS p FROM {GRAMS}) GROUP BY id, p")
 def lingo_counts(spark, d):
-    out = features.extract(structures(spark, d), "lingo_counts")
+    rows = structures(spark, d).repartition(spark.sparkContext.defaultParallelism)  # much work for few bytes: one file would be one task
+    out = features.extract(rows, "lingo_counts")
     return out.select("id", F.posexplode("features").alias("place", "n")).where("n > 0").withColumn("n", F.col("n").cast("bigint"))
 
 

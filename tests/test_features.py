@@ -100,3 +100,30 @@ def test_splitmix_against_integers(spark):
     for r in got:
         u = r["x"] % 2**64
         assert r["m"] % 2**64 == splitmix.plain_mix(u) and r["p"] % 2**64 == u * splitmix.M1 % 2**64 and r["a"] % 2**64 == (u + splitmix.GAMMA) % 2**64
+
+
+def test_counts_hash_each_substring_once(spark):
+    """Counts agree with a plain count, and cost a few passes over the substrings, not one for each place."""
+    import hashlib
+    import time
+    from collections import Counter
+
+    texts = ["abcdabcd", "abc", "", "aaaaaaa", "x" * 300, "".join(chr(97 + i * i % 26) for i in range(500))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, structure string")
+    for size in (1, 7, 256):
+        f = features.lingo_counts(size)
+        got = {r["id"]: r["x"] for r in rows.select("id", f.features(F.col("structure")).alias("x")).collect()}
+        for i, t in enumerate(texts):
+            c = Counter(int(hashlib.md5(t[j : j + 4].encode()).hexdigest()[:8], 16) % size for j in range(len(t) - 3))
+            assert got[i] == [c[p] for p in range(size)]
+    long = spark.range(0, 8, 1, 1).select(F.concat(F.repeat(F.lit("abcdefghij"), 300), F.col("id").cast("string")).alias("t"))
+
+    def seconds(column):
+        began = time.perf_counter()
+        long.select(column.alias("x")).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - began
+
+    one = F.transform(features.grams(F.col("t"), 4), lambda g: features.place_of(g, 256))
+    all_places = features.lingo_counts().features(F.col("t"))
+    seconds(one), seconds(one)
+    assert seconds(all_places) < 30 * seconds(one) + 1
