@@ -159,6 +159,7 @@ def reconcile(pool: DataFrame, oracle: Oracle) -> tuple[DataFrame, DataFrame | N
     known = oracle.known()
     if known is None:
         return pool, None
+    known = known.hint("merge")  # as many rows as the pool, whatever size its files suggest
     return pool.join(known, "id", "left_semi"), pool.join(known, "id", "left_anti")
 
 
