@@ -456,6 +456,22 @@ def test_copies_are_no_neighbours(spark):
     assert [got[i].text for i in range(7)] == ["Own one\nMore of one"] * 3 + ["Own two\nMore of two"] * 2 + ["Shared line\nOwn one\nMore of one"] * 2
 
 
+def test_neighbours_beyond_many_copies(spark, monkeypatch):
+    """A different page counts however many copies lie between, equal ones and nearly equal ones, in one chunk and in several."""
+    page = lambda *own: "<div>Shared line</div>" + "".join(f"<div>{x}</div>" for x in own)
+    body = [f"Line {i}" for i in range(12)]
+    rows = [(0, "http://a.org/x/000", page("First one"))]
+    rows += [(i, f"http://a.org/x/{i:03}", page(*body, *([f"Own {i}"] if i % 3 == 0 else []))) for i in range(1, 150)]
+    rows += [(149, "http://a.org/x/149", rows[149][2])]
+    rows += [(200 + i, f"http://b.org/{i:03}", page(*body)) for i in range(40)]
+    for chunk in (512, 40):
+        monkeypatch.setattr(pages, "CHUNK", chunk)
+        monkeypatch.setattr(pages, "WIDER", 4)
+        got = collections.Counter((r.page_id, r.text) for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect())
+        want = [(0, "First one"), *((i, "\n".join([*body, *([f"Own {i}"] if i % 3 == 0 else [])])) for i in [*range(1, 150), 149]), *((200 + i, "\n".join(["Shared line", *body])) for i in range(40))]
+        assert got == collections.Counter(want)
+
+
 def test_lcs_against_dynamic_programme():
     import random
 
