@@ -269,6 +269,79 @@ def test_score_against_a_closed_form(spark):
         assert abs(got[k].score - want) < 1e-4 and got[k].train_tokens == len(pairs)
 
 
+def test_each_word_has_its_own_restaurant(spark):
+    """A text of 3000 words, each once: whatever word comes before, its restaurant has one customer."""
+    words = [f"w{i}" for i in range(3000)]
+    got = table(language.score(spark.createDataFrame([(0, " ".join(words)), (1, "w1 w0 w2999")], "doc_id int, text string"), F.col("doc_id") == 0))
+    (d0, d2), (s0, s2) = language.DISCOUNT, language.STRENGTH
+    above = (s2 + d2) * (1 - d0) / (s0 + 3001) / (s2 + 1)
+    seen = (1 - d2) / (s2 + 1) + above
+    assert abs(got[0].score - 3001 * np.log10(seen)) < 1e-6
+    assert abs(got[1].score - 3 * np.log10(above) - np.log10(seen)) < 1e-6
+
+
+@pytest.mark.parametrize("codes", [18, 2])
+def test_score_against_whole_restaurants(spark, monkeypatch, codes):
+    """All buckets in one place, with totals added up by context; most contexts without codes in the second run."""
+    import random
+
+    monkeypatch.setattr(language, "CODES", codes)
+    dice = random.Random(5)
+    texts = [" ".join(f"v{int(dice.random() ** 3 * 60)}" for _ in range(30)) for _ in range(40)] + [None, "v1 new v2", "v0 " * 40]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = table(language.score(df, F.col("doc_id") % 4 != 1))
+    known = {w for t in texts for w in (t or "").split()}
+    h = {w: int(x) % 2**64 for w, x in spark.createDataFrame([(w,) for w in known], "w string").select("w", F.xxhash64("w")).collect()}
+    rows = {k: [int(language.START), *(h[w] for w in (t or "").split()), int(language.END)] for k, t in enumerate(texts)}
+    pairs, customers = collections.Counter(), collections.Counter()
+    for k, x in rows.items():
+        for u, w in zip(x, x[1:]):
+            pairs[u, w] += k % 4 != 1
+            customers[u] += k % 4 != 1
+    signed = lambda u: u - 2**64 if u >= 2**63 else u
+    level = collections.Counter(round(64 * np.log2(n)) for n in customers.values() if n)
+    cut = min(x for x in level if sum(n for y, n in level.items() if y >= x) <= 2**codes)
+    top = sorted((u for u, n in customers.items() if n and round(64 * np.log2(n)) >= cut), key=lambda u: (-customers[u], signed(u)))
+    assert (len(top) < 5) == (codes == 2)
+    made = []
+    for b in range(8):
+        asked = [(u, w) for u, w in pairs if w >> 61 == b]
+        if asked:
+            number = {u: i for i, u in enumerate(top + sorted({u for u, _ in asked} - set(top)))}
+            words = sorted({w for _, w in asked})
+            dishes = language.Dishes(np.array(words, np.uint64), np.array([words.index(w) for _, w in asked]), np.array([number[u] for u, _ in asked]), np.array([pairs[p] for p in asked]))
+            made.append((dishes, [*number], np.array([customers[u] for u in number], float)))
+    every, tables = np.zeros(3), [collections.Counter() for _ in range(3)]
+    for dishes, names, c2 in made:
+        for s, (t2, c0) in enumerate(dishes.sweeps(c2, 8.0, 11)):
+            every[s] += c0.sum()
+            for u, t in zip(dishes.u, t2):
+                tables[s][names[u]] += t
+    types, chance = sum(int((d.known > 0).sum()) for d, _, _ in made), {}
+    for dishes, names, c2 in made:
+        p = dishes.predict(c2, [(e, np.array([t[u] for u in names])) for e, t in zip(every, tables)], types, 8.0, 11)
+        chance |= {(names[x & 0xFFFFF], int(dishes.all[x >> 20])): v for x, v in zip(dishes.asked, p)}
+    assert max(pairs.values()) > language.STRETCH
+    for k, x in rows.items():
+        assert abs(got[k].score - sum(np.log10(chance[p]) for p in zip(x, x[1:]))) < 1e-9
+
+
+def test_language_numbers_round_trip():
+    x = np.array([0, 1, 254, 255, 256, 2**40])
+    data = language.numbers(x) + language.numbers(x[:2])
+    back, at = language.from_numbers(data, len(x), 0)
+    assert np.array_equal(back, x) and np.array_equal(language.from_numbers(data, 2, at)[0], x[:2])
+    h = np.array([5, 2**63 + 7, 3, 9], np.uint64)
+    assert np.array_equal(language.from_hashes(language.hashes(h)), h)
+
+
+def test_language_keys(spark):
+    """Null and large keys come back as they are."""
+    for kind, keys in (("long", [None, 2**62 + 1, 7]), ("string", [None, "x", ""])):
+        got = language.score(spark.createDataFrame([(k, "a b", "clash") for k in keys], f"doc_id {kind}, text string, u string"), F.lit(True)).collect()
+        assert {r.doc_id for r in got} == set(keys) and len({r.score for r in got}) == 1
+
+
 def test_seating_follows_the_posterior():
     """Gibbs moves of three customers of a dish, against all their partitions."""
     rng, d, new = np.random.default_rng(4), 0.8, 0.7
