@@ -241,13 +241,13 @@ class Chunk:
     """The tokens of some documents. words: distinct ones, about by falling frequency; contexts: these and START; c: training tokens of each word."""
 
     def __init__(self, words: bytes, tokens: bytes, each: np.ndarray, trained: np.ndarray):
-        self.words, self.tokens, self.each = from_hashes(words), from_three(tokens).astype(np.int64), each
+        self.words, self.tokens, self.each = from_hashes(words), from_three(tokens).view(np.int32), each
         self.first = np.concatenate([[0], np.cumsum(each)[:-1]])
         self.trained = np.repeat(trained, each)
         self.c = np.bincount(self.tokens[self.trained], minlength=len(self.words))
         self.end = int(np.flatnonzero(self.words == END)[0])
         self.contexts = np.concatenate([self.words, [START]])
-        self.before = np.empty(len(self.tokens), np.int64)
+        self.before = np.empty(len(self.tokens), np.int32)
         self.before[1:] = self.tokens[:-1]
         self.before[self.first] = len(self.words)
 
@@ -268,7 +268,8 @@ class Chunk:
         self.place = np.empty(len(order), np.int64)
         self.place[order] = np.arange(len(order))
         self.by_hash = self.words[order]
-        pairs, self.at = np.unique((self.place[self.tokens] << 24) | self.before, return_inverse=True)
+        pairs, at = np.unique((self.place[self.tokens] << 24) | self.before, return_inverse=True)
+        self.at = at.astype(np.int32)
         self.w, self.u = pairs >> 24, pairs & 0xFFFFFF
         cuts = np.searchsorted(self.by_hash, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
         self.cuts = np.concatenate([[0], cuts, [len(order)]])
