@@ -114,6 +114,34 @@ def test_joins_that_shuffle_agree(spark, docs, none, monkeypatch):
         assert f() == want[k], k
 
 
+def test_texts_without_candidates_are_not_shuffled(spark, monkeypatch):
+    """Joins of texts with tables too large to be broadcast: only texts that are split or compared pass through a shuffle."""
+    import random
+
+    import prospectra.llm.common as C
+
+    dice = random.Random(7)
+    base = [str(dice.randrange(10**9)) for _ in range(2000)]
+    texts = [" ".join([*base[: 100 * i], "other", *base[100 * i + 1 :]]) for i in range(6)]
+    texts += [" ".join(str(dice.randrange(10**9)) for _ in range(2000)) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    df = C.written(df, "texts")
+    monkeypatch.setattr(C, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(near, "GROUP", 4)
+    jvm = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        jvm.listenerBus().waitUntilEmpty()
+        return sum(jvm.statusStore().executorList(True).apply(i).totalShuffleWrite() for i in range(jvm.statusStore().executorList(True).size()))
+
+    before = shuffled()
+    got = table(near.jaccard_join(df))
+    assert [got[i].n_links for i in range(206)] == [5] * 6 + [0] * 200
+    assert shuffled() - before < sum(map(len, texts)) / 4
+    keys = df.where("doc_id < 6").select("doc_id")
+    assert 6 <= C.sieved(df, keys, ["doc_id"]).count() <= 40 and C.with_few(df, keys, ["doc_id"]).count() == 6
+
+
 def test_words_against_brute_force(docs, rows):
     """Passages of 50 words or more that occur again."""
     got = table(repeats.remove_repeats(docs, length=50, gram=20, words=True))
