@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import exact
+
 
 def run_aggregates(rows: DataFrame, value: str, finals: list[str], run: str = "run_id", cycle: str = "cycle") -> DataFrame:
-    """Per run: mean and deviation (population) of value, its best and the first cycle that reaches it, last and mean values of the others."""
-    first = F.max(F.struct(F.col(value), -F.col(cycle)))  # the least cycle of a tied best
+    """Per run: mean and deviation (population) of value, its best and the first cycle that reaches it, last and mean values of the others.
+    Nulls are passed over, the last value is the last that there is."""
+    first = F.max(F.when(F.col(value).isNotNull(), F.struct(F.col(value), -F.col(cycle))))  # the least cycle of a tied best
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col(cycle)))
     r = lambda c, n: F.round(c, 6).alias(n)
     return rows.groupBy(run).agg(
-        r(F.avg(value), f"avg_{value}"), r(F.stddev_pop(value), f"std_{value}"), r(F.max(value), "best"), (-first["col2"]).alias("best_cycle"), r(F.max_by(value, cycle), f"final_{value}"),
-        *(x for c in finals for x in (r(F.max_by(c, cycle), f"final_{c}"), r(F.avg(c), f"avg_{c}"))), F.count("*").alias("total_cycles"),
+        r(exact.mean(value), f"avg_{value}"), r(F.stddev_pop(value), f"std_{value}"), r(F.max(value), "best"), (-first["col2"]).alias("best_cycle"), r(last(value), f"final_{value}"),
+        *(x for c in finals for x in (r(last(c), f"final_{c}"), r(exact.mean(c), f"avg_{c}"))), F.count("*").alias("total_cycles"),
     )
 
 

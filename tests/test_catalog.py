@@ -1,6 +1,8 @@
 import glob
 import math
 import os
+import random
+from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
 
@@ -46,3 +48,20 @@ def test_no_limit_grows_with_the_pool(spark):
         plan = catalog.QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
         assert "TakeOrderedAndProject" not in plan and "CartesianProduct" not in plan
     assert "TakeOrderedAndProject" in catalog.QUERIES["acq_greedy_high"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_run_aggregates_in_any_order_of_rows(spark, tmp_path):
+    """Means of 32 prices that end in 5 at the seventh decimal: sums of doubles fall to either side, by the order of rows."""
+    prices = {}
+    for k in range(40):
+        draw = random.Random(k)
+        cents = [draw.randrange(90000, 10500000) for _ in range(31)]
+        cents.append(draw.randrange(45000, 5000000) * 2 + 1 - sum(cents) % 2)
+        prices[k] = cents
+    want = {k: float((Decimal(sum(v)) / 3200).quantize(Decimal("1e-6"), ROUND_HALF_UP)) for k, v in prices.items()}
+    for order in (1, -1):
+        rows = [(k, 1, 1.0, c / 100) for k, v in prices.items() for c in v[::order]]
+        spark.createDataFrame(rows, "l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double").coalesce(1).write.parquet(f"{tmp_path}/{order}/lineitem.parquet")
+        got = catalog.QUERIES["run_aggregates"](spark, f"{tmp_path}/{order}").collect()
+        for c in ("avg_metric", "best", "final_metric"):
+            assert {r["run_id"]: r[c] for r in got} == want

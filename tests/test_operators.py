@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from prospectra.errors import AcquisitionError, EngineWarning, InputError, LearnerError
-from prospectra.operators import acquisition, calibration, checks, evaluation, neighbours, order, pool
+from prospectra.operators import acquisition, analytics, calibration, checks, evaluation, neighbours, order, pool
 
 
 def ids(df):
@@ -235,3 +235,12 @@ def test_mean_tanimoto_takes_all_vectors(spark):
         else:
             assert 1000 <= pairs <= 100_000 and abs(mean - sum(every) / len(every)) < 0.015
             assert (mean, pairs) == tuple(evaluation.mean_tanimoto(some.repartition(9)).first())
+
+
+def test_run_aggregates_pass_over_nulls(spark):
+    """As SQL's arg_max and its filter on the best do."""
+    rows = spark.createDataFrame([(1, 1, None, 1.0), (1, 2, None, None), (2, 1, 5.0, 2.0), (2, 2, 5.0, 3.0), (2, 3, None, None)], "run_id long, cycle long, metric double, cost double")
+    got = {r["run_id"]: r for r in analytics.run_aggregates(rows, "metric", ["cost"]).collect()}
+    names = ("avg_metric", "std_metric", "best", "best_cycle", "final_metric", "final_cost", "avg_cost", "total_cycles")
+    assert [got[1][c] for c in names] == [None, None, None, None, None, 1.0, 1.0, 2]
+    assert [got[2][c] for c in names] == [5.0, 0.0, 5.0, 1, 5.0, 3.0, 2.5, 3]
